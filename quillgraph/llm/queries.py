@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.mixing import op1_mixing
+from quillgraph.llm.urlfilter import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing,)}
+    return {f.__name__: f for f in (op1_mixing, op2_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
