@@ -21,7 +21,7 @@ def spans(text: Column, pattern: str) -> Column:
         end = first + F.length(x["hit"])
         return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(first.alias("start"), end.alias("end"), x["hit"].alias("hit"))).alias("out"))
 
-    return F.aggregate(F.transform(pairs, lambda x: F.struct(x["0"].alias("gap"), x["1"].alias("hit"))), start, step, lambda a: a["out"])
+    return F.aggregate(pairs, start, step, lambda a: a["out"])
 
 
 def where_any(text: Column, hint: str, found: Column) -> Column:
