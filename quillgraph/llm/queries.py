@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.fingerprint import op9_fingerprints
 from quillgraph.llm.mixing import op1_mixing
 from quillgraph.llm.secretscan import op7_secrets
 from quillgraph.llm.urlfilter import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op7_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op7_secrets, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
