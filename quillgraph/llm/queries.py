@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.fingerprint import op9_fingerprints
+from quillgraph.llm.langid import op3_language
 from quillgraph.llm.mixing import op1_mixing
 from quillgraph.llm.pii import op6_pii
 from quillgraph.llm.secretscan import op7_secrets
@@ -14,7 +15,7 @@ from quillgraph.llm.urlfilter import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op6_pii, op7_secrets, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_language, op6_pii, op7_secrets, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
