@@ -10,9 +10,9 @@ def spans(text: Column, pattern: str) -> Column:
     """[(start, end, hit)] of the leftmost matches that do not overlap; end is exclusive.
 
     pattern has no capturing groups. Each match is taken together with the gap before it, whose lengths add up to
-    its place; a gap begins where the match before ended, so \\G in a pattern is the end of that match.
+    its place; \\G keeps a gap that nothing follows from being tried from each of its characters. So \\G in a pattern is the end of the match before.
     """
-    whole = F.lit(f"(?s)(.*?)({pattern})")
+    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
     pairs = F.arrays_zip(F.regexp_extract_all(text, whole, F.lit(1)).alias("gap"), F.regexp_extract_all(text, whole, F.lit(2)).alias("hit"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
 
