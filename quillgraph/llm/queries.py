@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.llm.fingerprint import op9_fingerprints
 from quillgraph.llm.langid import op3_language
 from quillgraph.llm.mixing import op1_mixing
+from quillgraph.llm.neardup import op10_neardup
 from quillgraph.llm.pii import op6_pii
 from quillgraph.llm.secretscan import op7_secrets
 from quillgraph.llm.substring import op5_substring
@@ -17,7 +18,7 @@ from quillgraph.llm.urlfilter import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_language, op5_substring, op6_pii, op7_secrets, op8_toxicity, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_language, op5_substring, op6_pii, op7_secrets, op8_toxicity, op9_fingerprints, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
