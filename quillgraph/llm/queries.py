@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.decontam import op4_decontamination
 from quillgraph.llm.fingerprint import op9_fingerprints
 from quillgraph.llm.langid import op3_language
 from quillgraph.llm.mixing import op1_mixing
@@ -18,7 +19,7 @@ from quillgraph.llm.urlfilter import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_language, op5_substring, op6_pii, op7_secrets, op8_toxicity, op9_fingerprints, op10_neardup)}
+    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_language, op4_decontamination, op5_substring, op6_pii, op7_secrets, op8_toxicity, op9_fingerprints, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
