@@ -25,19 +25,19 @@ GRAM = 8
 #: Windows that share an anchor lie this close; also the bits of a mask.
 REACH = WINDOW - GRAM + 1
 #: Rows of the count-min sketch, and cells of each as a power of two. What a merged sketch tells is two bits a cell
-#: (repeated, frequent): 64 MB for both rows together at any size of input, which is what is sent to every executor.
+#: (repeated, frequent): 32 MB for both rows together at any size of input, which is what is sent to every executor.
 #: With more anchors than cells the sketch lets more unique windows pass; the result stays the same.
-ROWS, BITS = 2, 27
+ROWS, BITS = 2, 26
 BLOCK_BITS = 20
 #: An anchor estimated this often is frequent: its windows are dealt out each by its own hash, not by anchor.
 FREQUENT = 2000
 #: Words handled at a time; bounds the memory whatever the batch.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the 0..n and to the 0..-n, modulo 2**64."""
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -93,11 +93,11 @@ class Windows:
         self.grams = grams
 
 
-def documents_of(hashes: WordHashes, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def documents_of(hashes: WordHashes, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first, number of words of each, hashes of all) of runs of documents with MOST_WORDS or so."""
     first, lengths, parts, n = 0, [], [], 0
-    for i, text in enumerate(texts):
-        w = words_of(text)
+    for i, text in enumerate(column):
+        w = words_of(text.as_py())
         lengths.append(len(w))
         parts.append(hashes.of(w, len(w)))
         n += len(w)
@@ -115,9 +115,9 @@ def cells(anchor: np.ndarray, row: int) -> np.ndarray:
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The partition's sketch as it grows: (block, cells of it, counts), without the cells that are 0."""
-    hashes = WordHashes()
+    hashes = WordHashes(60_000)
     for b in batches:
-        for _, lengths, h in documents_of(hashes, b.column(0).to_pylist()):
+        for _, lengths, h in documents_of(hashes, b.column(0)):
             w = Windows(lengths, h)
             anchors = w.grams[w.places]
             rows = []
@@ -149,12 +149,16 @@ class Sketch:
         self.blocks = {r["block"]: (r["repeated"], r["frequent"] if bytes(r["frequent"]).strip(b"\0") else None) for r in blocks}
 
     def unpacked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Made once a process; the blocks go then."""
+        if self.blocks is None:
+            return self.out
         out = tuple(np.zeros((ROWS << (BITS - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8) for _ in range(2))
         for block, pair in self.blocks.items():
             for o, packed in zip(out, pair, strict=True):
                 if packed is not None:
                     o[block] = np.frombuffer(packed, np.uint8)
-        return tuple(o.reshape(ROWS, -1) for o in out)
+        self.blocks, self.out = None, tuple(o.reshape(ROWS, -1) for o in out)
+        return self.out
 
 
 def estimated(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -176,10 +180,10 @@ def candidates_of(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, frequent = shared.value.unpacked()
-        hashes = WordHashes()
+        hashes = WordHashes(60_000)
         for b in batches:
             rids, rids2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for first, lengths, h in documents_of(hashes, b.column(2).to_pylist()):
+            for first, lengths, h in documents_of(hashes, b.column(2)):
                 w = Windows(lengths, h)
                 keep = estimated(repeated, w.anchor)
                 start, window, anchor = w.start[keep], w.window[keep], w.anchor[keep]
@@ -228,7 +232,7 @@ def candidates_of(shared):
 
 def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, starts, masks) -> doc_id, n_words, n_removed, kept."""
-    for b in batches:
+    for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
         counts, removed, kept = [], [], []
         texts = b.column(1)
         for i in range(b.num_rows):
