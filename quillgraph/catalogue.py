@@ -1,15 +1,430 @@
-"""The reference-side queries by name, with their SQL; the driver's contract reads both."""
+"""The store's queries over the driver's tables by name, with their SQL; the driver's contract reads both."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillgraph.functions import text as tx
+from quillgraph.operators import collections as co
+from quillgraph.operators import communities as cm
+from quillgraph.operators import graph as gr
+from quillgraph.operators import ingest, queues, search
+from quillgraph.operators.predicates import live, readable, subtree
+from quillgraph.plans import oracle as o
+from quillgraph.sources import tables as t
+from quillgraph.streaming import log
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+NOW = "2026-01-01 00:00:00"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return gr.edges(t.pages(s, d))
+
+
+def _clusterable(s: SparkSession, d: str) -> DataFrame:
+    p = t.pages(s, d)
+    return gr.clusterable(gr.edges(p), p)
+
+
+def _readable(s: SparkSession, d: str) -> DataFrame:
+    return readable(t.pages(s, d), t.acls(s, d))
+
+
+def _embedded(s: SparkSession, d: str) -> DataFrame:
+    return t.pages(s, d).join(t.embeddings(s, d).select("page_id"), "page_id", "left_semi").select("hash").distinct()
+
+
+@query(f"WITH {o.NAMES} SELECT DISTINCT ws, {o.key('name')} AS name FROM (SELECT ws, unnest(names) AS name FROM named) WHERE {o.plausible('name')}")
+def stub_entities(s, d):
+    return gr.entities(t.pages(s, d))
+
+
+@query(f"WITH {o.EDGES} SELECT * FROM edges")
+def stub_edges(s, d):
+    return _edges(s, d)
+
+
+@query(f"WITH {o.PAIRS} SELECT ws, a, b, weight FROM pairs")
+def clusterable_pairs(s, d):
+    return gr.pair_weights(_clusterable(s, d))
+
+
+@query(f"WITH {o.PAIRS} SELECT ws, count(*) AS pairs FROM pairs GROUP BY ws")
+def clusterable_edge_count(s, d):
+    return gr.pair_weights(_clusterable(s, d)).groupBy("ws").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"WITH {o.CLUSTERABLE}, n AS (SELECT DISTINCT ws, unnest([source, target]) AS name FROM clusterable) SELECT ws, name, row_number() OVER (PARTITION BY ws ORDER BY name) - 1 AS idx FROM n")
+def clusterable_nodes(s, d):
+    return gr.nodes(_clusterable(s, d))
+
+
+@query(f"WITH {o.NEIGHBOURS} SELECT * FROM neighbours")
+def neighbour_weights(s, d):
+    return gr.neighbour_weights(_clusterable(s, d))
+
+
+@query(f"WITH {o.NEIGHBOURS} SELECT ws, name, neighbour, weight FROM neighbours QUALIFY row_number() OVER (PARTITION BY ws, name ORDER BY weight DESC, neighbour) = 1")
+def hot_target(s, d):
+    return gr.strongest_neighbour(gr.neighbour_weights(_clusterable(s, d)))
+
+
+@query(f"WITH {o.EDGES}, {o.LIVE_CHUNKS} SELECT e.* FROM edges e ANTI JOIN live_chunks USING (ws, hash)")
+def reap_dead_edges(s, d):
+    p = t.pages(s, d)
+    return gr.dead_edges(gr.edges(p), p)
+
+
+@query(f"WITH {o.CLUSTERABLE}, ent AS (SELECT DISTINCT ws, {o.key('name')} AS name FROM (SELECT ws, unnest(names) AS name FROM named) WHERE {o.plausible('name')}), used AS (SELECT DISTINCT ws, unnest([source, target]) AS name FROM clusterable) SELECT ent.* FROM ent ANTI JOIN used USING (ws, name)")
+def reap_orphan_entities(s, d):
+    p = t.pages(s, d)
+    return gr.orphan_entities(gr.entities(p), gr.clusterable(gr.edges(p), p))
+
+
+SEEDS = "seeds AS (SELECT ws, hash, row_number() OVER (ORDER BY page_id) AS rank FROM pg WHERE page_id IN (3, 7, 11))"
+
+
+def _seeds(s, d):
+    from pyspark.sql import Window as W
+
+    return t.pages(s, d).where(F.col("page_id").isin(3, 7, 11)).select("ws", "hash", F.row_number().over(W.orderBy("page_id")).alias("rank"))
+
+
+@query(f"WITH {o.CLUSTERABLE}, {SEEDS} SELECT DISTINCT c.ws, unnest([source, target]) AS name FROM clusterable c SEMI JOIN seeds USING (ws, hash)")
+def seed_entities(s, d):
+    return gr.seed_entities(_clusterable(s, d), _seeds(s, d))
+
+
+@query(f"WITH {o.CLUSTERABLE}, {SEEDS}, {o.WALK} SELECT ws, hash, hops, round(score, 9) AS score FROM walked")
+def graph_walk_2hop(s, d):
+    return gr.walk(_clusterable(s, d), _seeds(s, d)).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERABLE}, {SEEDS}, {o.WALK}, {o.ACCESS}, {o.HITS} SELECT page_id, hash, hops, round(score, 9) AS score FROM hits ORDER BY hits.score DESC, hops, page_id, hash LIMIT 24")
+def local_search_chunks(s, d):
+    return gr.local_hits(gr.walk(_clusterable(s, d), _seeds(s, d)), t.pages(s, d), _readable(s, d), 24).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH RECURSIVE {o.CLUSTERABLE}, {SEEDS}, {o.WALK}, {o.ACCESS}, {o.HITS}, top AS (SELECT * FROM hits ORDER BY score DESC, hops, page_id, hash LIMIT 24),
+r AS (SELECT *, count(*) OVER () AS n, count(*) FILTER (hops > 0) OVER () AS by_hops, row_number() OVER (PARTITION BY hops > 0 ORDER BY score DESC, hops, page_id, hash) AS k FROM top)
+SELECT page_id, hash, hops, round(score, 9) AS score FROM r WHERE n <= 8 OR CASE WHEN hops > 0 THEN k <= least(by_hops, 2) ELSE k <= 8 - least(by_hops, 2) END ORDER BY r.score DESC, hops, page_id, hash LIMIT 8""")
+def reserve_graph_slots(s, d):
+    hits = gr.local_hits(gr.walk(_clusterable(s, d), _seeds(s, d)), t.pages(s, d), _readable(s, d), 24)
+    return gr.with_reserved_slots(hits, 8).withColumn("score", F.round("score", 9))
+
+
+@query()
+def louvain_partition(s, d):
+    return cm.partition(gr.pair_weights(_clusterable(s, d)))
+
+
+@query()
+def louvain_modularity(s, d):
+    pairs = gr.pair_weights(_clusterable(s, d))
+    return cm.modularity(pairs, cm.partition(pairs))
+
+
+LABELLED = "m AS (SELECT DISTINCT ws, name, length(name) % 7 AS community FROM (SELECT ws, unnest([source, target]) AS name FROM clusterable))"
+
+
+def _by_length(s, d):
+    n = gr.nodes(_clusterable(s, d))
+    return n.select("ws", "name", (F.length("name") % 7).alias("community"))
+
+
+@query(f"""WITH {o.PAIRS}, {LABELLED}, p AS (SELECT pairs.ws, weight, x.community AS ca, y.community AS cb FROM pairs JOIN m x ON pairs.ws = x.ws AND a = x.name JOIN m y ON pairs.ws = y.ws AND b = y.name),
+deg AS (SELECT ws, c, sum(weight) AS d FROM (SELECT ws, ca AS c, weight FROM p UNION ALL SELECT ws, cb, weight FROM p) GROUP BY ALL), sq AS (SELECT ws, sum(d * d) AS dd FROM deg GROUP BY ws),
+w AS (SELECT ws, sum(weight) AS m, sum(CASE WHEN ca = cb THEN weight ELSE 0 END) AS inside FROM p GROUP BY ws) SELECT ws, round(inside / m - dd / (4 * m * m), 6) AS q FROM w JOIN sq USING (ws)""")
+def modularity_by_name_length(s, d):
+    return cm.modularity(gr.pair_weights(_clusterable(s, d)), _by_length(s, d))
+
+
+HASHES = "h AS (SELECT ws, community, count(DISTINCT name) AS n_members, sha256(array_to_string(list_sort(list(DISTINCT name)), chr(31)) || chr(31)) AS member_hash FROM m GROUP BY ALL)"
+
+
+@query(f"WITH {o.CLUSTERABLE}, {LABELLED}, {HASHES} SELECT * FROM h")
+def member_set_hash(s, d):
+    return cm.member_hashes(_by_length(s, d))
+
+
+@query(f"WITH {o.CLUSTERABLE}, {LABELLED}, {HASHES} SELECT ws, community, member_hash, n_members, CASE WHEN community = 1 AND n_members >= 20 THEN 'lazy' ELSE 'eager' END AS urgency FROM h WHERE community <> 2")
+def pending_summaries(s, d):
+    c = cm.member_hashes(_by_length(s, d))
+    kept = c.where(F.col("community") == 2).select("ws", "community", "member_hash", F.lit("stub").alias("model"))
+    stale = c.where(F.col("community") == 1).select("ws", "community", F.lit("old").alias("member_hash"), F.lit("stub").alias("model"))
+    return cm.pending_summaries(c, kept.unionByName(stale), "stub")
+
+
+@query(f"WITH {o.CLUSTERABLE}, {LABELLED}, {HASHES} SELECT * FROM h ORDER BY n_members DESC, ws, community LIMIT 8")
+def summaries_by_size(s, d):
+    return cm.summaries_by_size(cm.member_hashes(_by_length(s, d)), 8)
+
+
+@query("SELECT vec_id AS community, round(1 - list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS distance FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1) ORDER BY distance, community LIMIT 8")
+def summaries_by_similarity(s, d):
+    e = t.embeddings(s, d)
+    q = e.where(F.col("page_id") == 1).select(F.col("embedding").alias("q"))
+    return cm.summaries_by_similarity(e.join(F.broadcast(q)).select(F.col("page_id").alias("community"), "embedding", "q"), F.col("q"), 8)
+
+
+@query(f"WITH {o.PAGES}, {o.EMBEDDED} SELECT DISTINCT hash FROM pg ANTI JOIN embedded USING (hash) WHERE NOT archived")
+def embedding_queue(s, d):
+    return queues.pending_embedding(t.pages(s, d), _embedded(s, d))
+
+
+@query(f"WITH {o.PAGES}, {o.EMBEDDED}, c AS (SELECT DISTINCT hash FROM pg WHERE NOT archived) SELECT count(*) FILTER (hash IN (SELECT hash FROM embedded)) AS done, count(*) AS total FROM c")
+def embedding_progress(s, d):
+    return queues.embedding_progress(t.pages(s, d), _embedded(s, d))
+
+
+def _markers(s, d):
+    return t.pages(s, d).where(F.col("page_id") % 3 == 0).select("hash", "ws").distinct()
+
+
+MARKERS = "markers AS (SELECT DISTINCT hash, ws FROM pg WHERE page_id % 3 = 0)"
+
+
+@query(f"WITH {o.PAGES}, {MARKERS} SELECT DISTINCT hash, ws FROM pg ANTI JOIN markers USING (hash, ws) WHERE NOT archived")
+def extraction_queue(s, d):
+    return queues.pending_extraction(t.pages(s, d), _markers(s, d))
+
+
+@query(f"WITH {o.PAGES}, {MARKERS}, c AS (SELECT DISTINCT hash, ws FROM pg WHERE NOT archived) SELECT count(m.hash) AS done, count(*) AS total FROM c LEFT JOIN markers m USING (hash, ws)")
+def extraction_progress(s, d):
+    return queues.extraction_progress(t.pages(s, d), _markers(s, d))
+
+
+@query(f"WITH {o.PAGES} SELECT hash, count(DISTINCT ws) AS workspaces, count(*) AS pages FROM pg WHERE NOT archived GROUP BY hash HAVING count(DISTINCT ws) > 1")
+def shared_chunk_workspaces(s, d):
+    return queues.shared_chunks(t.pages(s, d))
+
+
+@query(f"""WITH {o.EDGES}, {o.EMBEDDED}, c AS (SELECT DISTINCT ws, hash FROM pg WHERE NOT archived), a AS (SELECT ws, count(*) AS pages, count(DISTINCT hash) AS chunks FROM pg WHERE NOT archived GROUP BY ws),
+b AS (SELECT ws, count(*) AS embedded FROM c SEMI JOIN embedded USING (hash) GROUP BY ws), e AS (SELECT ws, count(*) AS edges FROM edges SEMI JOIN c USING (ws, hash) GROUP BY ws)
+SELECT ws, pages, chunks, coalesce(embedded, 0) AS embedded, coalesce(edges, 0) AS edges FROM a LEFT JOIN b USING (ws) LEFT JOIN e USING (ws)""")
+def workspace_stats(s, d):
+    p = t.pages(s, d)
+    return queues.workspace_stats(p, _embedded(s, d), gr.edges(p))
+
+
+CHANGES = "changes AS (SELECT 'src' || (user_id % 20) AS ws, count(*) AS changed FROM events GROUP BY ALL)"
+
+
+def _changes(s, d):
+    return t.table(s, d, "events").groupBy(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("ws")).agg(F.count(F.lit(1)).alias("changed"))
+
+
+@query(f"WITH {o.PAIRS}, {CHANGES}, e AS (SELECT ws, count(*) AS edges FROM pairs GROUP BY ws) SELECT ws, edges, coalesce(changed, 0) AS changed, ceil(edges * 0.05)::BIGINT AS threshold, coalesce(changed, 0) > 0 AND coalesce(changed, 0) >= ceil(edges * 0.05) AS due FROM e LEFT JOIN changes USING (ws)")
+def churn_due(s, d):
+    return queues.churn_due(_changes(s, d), clusterable_edge_count(s, d).withColumnRenamed("pairs", "edges"))
+
+
+@query(f"WITH {o.TITLES} SELECT page_id, title, round({o.RANK}, 6) AS rank FROM titled WHERE {o.CANDIDATE} ORDER BY rank DESC, title, page_id LIMIT 10")
+def quick_find(s, d):
+    return search.quick_find(t.pages(s, d), None, "the and", 10)
+
+
+@query(f"WITH {o.TITLES} SELECT page_id, round({o.SIMILARITY}, 6) AS similarity FROM titled")
+def trigram_similarity(s, d):
+    return live(t.pages(s, d)).select("page_id", F.round(tx.similarity(F.col("title"), F.lit("the and")), 6).alias("similarity"))
+
+
+@query(f"""WITH {o.PAGES}, q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), n AS (SELECT page_id, title, round(1 - list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS distance
+FROM pg JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v ON page_id = vec_id, q WHERE NOT archived AND page_id <> 0 AND ws = (SELECT ws FROM pg WHERE page_id = 0)) SELECT * FROM n WHERE distance < 0.95 ORDER BY distance, page_id LIMIT 5""")
+def related_pages(s, d):
+    return search.related(t.pages(s, d), t.embeddings(s, d).select("page_id", "embedding"), 0, 5, 0.95)
+
+
+@query(f"""WITH RECURSIVE {o.PAGES}, {o.ACCESS}, ids AS (SELECT page_id FROM pg SEMI JOIN readable USING (page_id) WHERE NOT archived), {o.BLOCKS},
+tok AS (SELECT page_id, block_index, list_transform(regexp_extract_all(text, '{o.WORD}'), lambda w: regexp_replace(lower(w), '{o.EDGES_OF_NAME}', '', 'g')) AS k FROM bl SEMI JOIN ids USING (page_id)),
+l AS (SELECT page_id, block_index, len(list_filter(k, lambda w: w = 'the')) + len(list_filter(k, lambda w: w = 'that')) AS times FROM tok WHERE list_contains(k, 'the') AND list_contains(k, 'that')),
+la AS (SELECT page_id, row_number() OVER (ORDER BY times DESC, page_id, block_index) AS rank FROM l QUALIFY rank <= 50), q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+v AS (SELECT vec_id AS page_id, round(1 - list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS distance FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q),
+va AS (SELECT page_id, row_number() OVER (ORDER BY distance, page_id) AS rank FROM v SEMI JOIN ids USING (page_id) WHERE distance < 0.75 QUALIFY rank <= 100),
+arms AS (SELECT page_id, rank, true AS lexical FROM la UNION ALL SELECT page_id, rank, false FROM va)
+SELECT page_id, round(sum(1 / (60.0::DOUBLE + rank)), 6) AS score, bool_or(lexical) AS lexical FROM arms GROUP BY page_id ORDER BY score DESC, lexical DESC, page_id LIMIT 20""")
+def hybrid_rrf(s, d):
+    p, e = t.pages(s, d), t.embeddings(s, d).select("page_id", "embedding")
+    q = e.where(F.col("page_id") == 0).first()["embedding"]
+    return search.hybrid(p, t.blocks(p), e, ["the", "that"], q, _readable(s, d), 0.75)
+
+
+@query(f"WITH RECURSIVE {o.PAGES}, {o.ACCESS} SELECT page_id, access FROM readable")
+def readable_pages(s, d):
+    return _readable(s, d)
+
+
+@query(f"WITH RECURSIVE {o.PAGES}, sub AS (SELECT page_id FROM pg WHERE page_id = 1 AND NOT archived UNION ALL SELECT p.page_id FROM pg p JOIN sub ON p.parent_id = sub.page_id WHERE NOT archived) SELECT * FROM sub")
+def share_subtree(s, d):
+    return subtree(t.pages(s, d), 1)
+
+
+@query(f"WITH {o.PAGES} SELECT page_id, parent_id, title FROM pg WHERE NOT archived AND parent_id IS NULL")
+def children(s, d):
+    return search.children(t.pages(s, d), None)
+
+
+@query(f"WITH {o.PAGES} SELECT page_id, title, updated_at FROM pg WHERE NOT archived AND ws = 'src3' ORDER BY updated_at DESC, page_id DESC LIMIT 10")
+def recent(s, d):
+    return search.recent(t.pages(s, d), "src3", 10)
+
+
+@query(f"WITH {o.PAGES}, {o.BLOCKS} SELECT page_id, block_index, sha256('paragraph' || chr(31) || text) AS hash FROM bl")
+def block_projection(s, d):
+    return t.blocks(t.pages(s, d)).select("page_id", "block_index", "hash")
+
+
+@query(f"WITH {o.PAGES} SELECT hash, count(*) AS pages FROM pg GROUP BY hash")
+def chunk_dedup(s, d):
+    return t.pages(s, d).groupBy("hash").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query()
+def chunk_blocks(s, d):
+    return ingest.chunked(t.pages(s, d))
+
+
+@query()
+def html_blocks(s, d):
+    return ingest.html_blocks(t.table(s, d, "pages"))
+
+
+@query()
+def embed_chunks(s, d):
+    return ingest.embedded(ingest.deduplicated_chunks(ingest.chunked(t.pages(s, d))), ingest.HashEmbedder())
+
+
+@query(f"WITH {o.PAGES} SELECT page_id, ceil(greatest((len(regexp_extract_all(text, '{o.WORD}'))::FLOAT * 1.3::FLOAT)::FLOAT, (length(text)::FLOAT / 4::FLOAT)::FLOAT))::INTEGER AS tokens FROM pg")
+def token_estimate(s, d):
+    return t.pages(s, d).select("page_id", tx.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id AS page_id, (contains(lower(text), 'the')::INT + contains(lower(text), 'tion')::INT + contains(lower(text), 'unseen')::INT) / 3 AS relevance FROM documents")
+def relevance_score(s, d):
+    return t.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), tx.relevance("of the tion, unseen", F.col("text")).alias("relevance"))
+
+
+@query("SELECT n_nationkey AS k, 'Dear ' || n_name || ' of ' || r_name || ', {{ unknown }} {{open' AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
+def template_substitute(s, d):
+    n = t.table(s, d, "nation").join(t.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    pattern = F.lit("Dear {{ nation }} of {{region}}, {{ unknown }} {{open")
+    return n.select(F.col("n_nationkey").alias("k"), tx.substituted(pattern, {"nation": F.col("n_name"), "region": F.col("r_name")}).alias("text"))
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS k, date_diff('second', o_orderdate::TIMESTAMP, TIMESTAMP '{NOW}') AS s FROM orders), b AS (SELECT k, CASE WHEN s < 60 THEN NULL WHEN s < 3600 THEN (s // 60, 'minute') WHEN s < 86400 THEN (s // 3600, 'hour') WHEN s < 604800 THEN (s // 86400, 'day')
+WHEN s < 2592000 THEN (s // 604800, 'week') WHEN s < 31536000 THEN (s // 2592000, 'month') ELSE (s // 31536000, 'year') END AS u FROM a) SELECT k, CASE WHEN u IS NULL THEN 'just now' ELSE u[1] || ' ' || u[2] || CASE WHEN u[1] = 1 THEN '' ELSE 's' END || ' ago' END AS ago FROM b""")
+def relative_time(s, d):
+    return t.table(s, d, "orders").select(F.col("o_orderkey").alias("k"), tx.relative_time(F.col("o_orderdate").cast("timestamp"), F.lit(NOW).cast("timestamp")).alias("ago"))
+
+
+KIND = {"page_id": "number", "title": "text", "brand": "select", "size": "number", "price": "number", "tags": "multi_select"}
+PARTS = "parts AS (SELECT p_partkey AS page_id, p_name AS title, CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand END AS brand, p_size AS size, p_retailprice AS price, string_split(p_type, ' ') AS tags FROM part)"
+
+
+def _parts(s, d):
+    brand = F.when(F.col("p_size") % 10 != 0, F.col("p_brand"))
+    return t.table(s, d, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), brand.alias("brand"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), F.split("p_type", " ").alias("tags"))
+
+
+def _view_query(name: str, f: co.Filter, where: str) -> None:
+    def run(s, d):
+        return co.view(_parts(s, d), KIND, [f], limit=None).select("page_id", "title", "brand", "size")
+
+    run.__name__ = name
+    query(f"WITH {PARTS} SELECT page_id, title, brand, size FROM parts WHERE {where}")(run)
+
+
+_view_query("view_filter_eq", co.Filter("brand", "eq", "Brand#13"), "brand = 'Brand#13'")
+_view_query("view_filter_neq", co.Filter("brand", "neq", "Brand#13"), "brand IS DISTINCT FROM 'Brand#13'")
+_view_query("view_filter_contains", co.Filter("title", "contains", "1"), "title ILIKE '%1%'")
+_view_query("view_filter_gt", co.Filter("size", "gt", 25), "size > 25")
+_view_query("view_filter_lt", co.Filter("size", "lt", 9), "size < 9")
+_view_query("view_filter_is_empty", co.Filter("brand", "is_empty"), "brand IS NULL")
+_view_query("view_filter_is_not_empty", co.Filter("brand", "is_not_empty"), "brand IS NOT NULL")
+
+
+@query(f"WITH {PARTS} SELECT page_id, brand, size FROM parts ORDER BY brand DESC NULLS LAST, size::VARCHAR NULLS LAST, page_id LIMIT 500")
+def view_sort_nulls_last(s, d):
+    return co.view(_parts(s, d), KIND, sorts=[("brand", True), ("size", False)]).select("page_id", "brand", "size")
+
+
+@query("WITH n AS (SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL), opt AS (SELECT * FROM (VALUES ('O', 0), ('F', 1), ('X', 2)) v(value, place)) SELECT value, place, coalesce(n, 0) AS n FROM opt LEFT JOIN n USING (value) UNION ALL SELECT value, 3, n FROM n ANTI JOIN opt USING (value) WHERE value IS NOT NULL UNION ALL SELECT NULL, 4, count(*) FILTER (o_orderstatus IS NULL) FROM orders")
+def board_groups(s, d):
+    return co.board(t.table(s, d, "orders"), "o_orderstatus", ["O", "F", "X"])
+
+
+@query("SELECT substr(o_orderdate::DATE::VARCHAR, 1, 10) AS day, count(*) AS n FROM orders GROUP BY 1")
+def calendar_buckets(s, d):
+    return co.calendar(t.table(s, d, "orders"), "o_orderdate")
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) AS n, CASE WHEN count(l_orderkey) > 0 THEN coalesce(round(sum(l_quantity), 6), 0) END AS total, min(l_quantity) AS least, max(l_quantity) AS most,
+arg_max(l_quantity, {'a': l_shipdate, 'b': l_linenumber, 'c': l_partkey, 'd': l_quantity}) AS latest FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def rollup(s, d):
+    lines = t.table(s, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    out = co.rollup(t.table(s, d, "orders"), lines, "o_orderkey", "l_quantity", ["l_shipdate", "l_linenumber", "l_partkey", "l_quantity"])
+    return out.withColumn("total", F.round("total", 6))
+
+
+@query("SELECT p_name AS source, unnest(string_split(p_type, ' ')) AS target, 'part_type' AS relation FROM part UNION ALL SELECT p_name, p_brand, 'brand' FROM part")
+def property_edges(s, d):
+    p = t.table(s, d, "part")
+    many = p.select(F.col("p_name").alias("title"), F.lit(" Part Type ").alias("property"), F.lit("multi_select").alias("kind"), F.split("p_type", " ").alias("values"))
+    one = p.select(F.col("p_name").alias("title"), F.lit("Brand").alias("property"), F.lit("select").alias("kind"), F.array("p_brand").alias("values"))
+    other = p.select(F.col("p_name").alias("title"), F.lit("Size").alias("property"), F.lit("number").alias("kind"), F.array(F.col("p_size").cast("string")).alias("values"))
+    return co.property_edges(many.unionByName(one).unionByName(other))
+
+
+@query("SELECT o_custkey AS page, o_orderkey AS related FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0")
+def relation_forward(s, d):
+    c = t.table(s, d, "customer").where(F.col("c_acctbal") >= 0).select(F.col("c_custkey").alias("o_custkey"))
+    return t.table(s, d, "orders").join(c, "o_custkey", "left_semi").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("related"))
+
+
+@query("SELECT conv_id, count(*) AS comments, count(*) FILTER (turn > 0) AS replies, arg_min(role, turn) AS opened_by, sha256(string_agg(text, chr(10) ORDER BY turn)) AS thread_hash FROM conversations GROUP BY conv_id")
+def comment_threads(s, d):
+    c = t.table(s, d, "conversations")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("comments"), F.count_if(F.col("turn") > 0).alias("replies"), F.min_by("role", "turn").alias("opened_by"), F.sha2(texts, 256).alias("thread_hash"))
+
+
+LOG = "lg AS (SELECT user_id AS page_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, props AS \"update\" FROM events)"
+
+
+def _log(s, d):
+    e = t.table(s, d, "events").select(F.col("user_id").alias("page_id"), F.col("props").alias("update"), "ts", "event_id")
+    return log.numbered(e, ["ts", "event_id"]).select("page_id", "seq", "update")
+
+
+@query(f"WITH {LOG} SELECT * FROM lg")
+def log_load(s, d):
+    return _log(s, d)
+
+
+@query(f"WITH {LOG}, n AS (SELECT page_id, count(*) AS n, arg_max(\"update\", seq) AS last FROM lg GROUP BY page_id) SELECT lg.* FROM lg SEMI JOIN (SELECT page_id FROM n WHERE n <= 65) USING (page_id) UNION ALL SELECT page_id, 0, last FROM n WHERE n > 65")
+def log_compaction(s, d):
+    return log.compacted(_log(s, d), 65)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
