@@ -352,7 +352,7 @@ def _view_query(name: str, f: co.Filter, where: str) -> None:
 
 _view_query("view_filter_eq", co.Filter("brand", "eq", "Brand#13"), "brand = 'Brand#13'")
 _view_query("view_filter_neq", co.Filter("brand", "neq", "Brand#13"), "brand IS DISTINCT FROM 'Brand#13'")
-_view_query("view_filter_contains", co.Filter("title", "contains", "1"), "title ILIKE '%1%'")
+_view_query("view_filter_contains", co.Filter("title", "contains", "RING"), "title ILIKE '%RING%'")
 _view_query("view_filter_gt", co.Filter("size", "gt", 25), "size > 25")
 _view_query("view_filter_lt", co.Filter("size", "lt", 9), "size < 9")
 _view_query("view_filter_is_empty", co.Filter("brand", "is_empty"), "brand IS NULL")
