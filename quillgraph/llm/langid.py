@@ -97,6 +97,8 @@ class Scorer(dict):
         return at
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.model.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
         langs, best = [], []
         if len(self.extra) > self.most:
             self.fresh()
@@ -104,7 +106,7 @@ class Scorer(dict):
         rows = [np.fromiter(map(self.__getitem__, ws), np.int64, len(ws)) for ws in found]
         scores = np.concatenate([self.model.scores, np.array(self.extra, np.float32).reshape(-1, len(self.model.languages))]) if self.extra else self.model.scores
         for ws, at in zip(found, rows, strict=True):
-            if not self.model.languages or not any(c.isalpha() for w in ws for c in w):
+            if not any(c.isalpha() for w in ws for c in w):
                 langs.append("und")
                 best.append(0.0)
                 continue
