@@ -24,7 +24,7 @@ WINDOW = 20
 #: 3.2 bits on average, 20 of 62 characters 4.0.
 HEX_BITS, MIXED_BITS = 2.8, 3.5
 #: What looks random and is no secret: UUIDs, addresses, paths and names of letters with joints, version numbers and dates.
-ALLOWED = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:https?:?//|www\.).*|[./_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[./_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[./_=+-]*|[0-9.+/_=-]+|.*\.(?:com|org|net|html?|php|js|css|png|jpe?g|gif)[.]?)$"
+ALLOWED = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:(?:https?:?)?//|www\.).*|[./_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[./_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[./_=+-]*|[0-9.+/_=-]+|.*\.(?:com|org|net|html?|php|js|css|png|jpe?g|gif)[.]?)$"
 
 
 def most_entropy(text: Column, window: int = WINDOW) -> Column:
