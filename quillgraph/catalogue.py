@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions import fts
 from quillgraph.functions import text as tx
+from quillgraph.operators import accounts as ac
 from quillgraph.operators import collections as co
 from quillgraph.operators import communities as cm
 from quillgraph.operators import graph as gr
+from quillgraph.operators import knowledge as kn
 from quillgraph.operators import ingest, queues, search
 from quillgraph.operators.predicates import live, readable, subtree
 from quillgraph.plans import oracle as o
@@ -422,6 +427,73 @@ def log_compaction(s, d):
     return log.compacted(_log(s, d), 65)
 
 
+@query()
+def hybrid_fts(s, d):
+    p = t.pages(s, d)
+    b = t.blocks(p).select("page_id", "block_index", fts.rank(F.col("text"), "nd st").alias("density")).where(F.col("density").isNotNull())
+    return b.orderBy(F.desc("density"), "page_id", "block_index").limit(50)
+
+
+@query()
+def indexing_status(s, d):
+    p = t.pages(s, d)
+    a = queues.embedding_progress(p, _embedded(s, d)).select(F.lit("embed").alias("stage"), "done", "total")
+    b = queues.extraction_progress(p, _markers(s, d)).select(F.lit("extract").alias("stage"), "done", "total")
+    return a.unionByName(b).withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("done")))
+
+
+SQL["indexing_status"] = f"""WITH {o.PAGES}, {o.EMBEDDED}, {MARKERS}, c AS (SELECT DISTINCT hash FROM pg WHERE NOT archived), x AS (SELECT DISTINCT hash, ws FROM pg WHERE NOT archived), st AS (
+SELECT 'embed' AS stage, count(*) FILTER (hash IN (SELECT hash FROM embedded)) AS done, count(*) AS total FROM c UNION ALL SELECT 'extract', count(m.hash), count(*) FROM x LEFT JOIN markers m USING (hash, ws)) SELECT *, greatest(0, total - done) AS pending FROM st"""
+
+
+@query()
+def local_answer(s, d):
+    p = t.pages(s, d)
+    hits = gr.with_reserved_slots(gr.local_hits(gr.walk(_clusterable(s, d), _seeds(s, d)), p, _readable(s, d), 24), 8)
+    got = kn.local_answer(hits, p, gr.seed_entities(_clusterable(s, d), _seeds(s, d)), "what is the", kn.StubAnswerer())
+    return s.createDataFrame([(got.text, len(got.citations), len(got.subjects))], "answer string, citations int, subjects int")
+
+
+@query()
+def global_answer(s, d):
+    members = _by_length(s, d)
+    c = cm.member_hashes(members).groupBy("community").agg(F.sum("n_members").alias("n_members"))
+    text = kn.stub_summary(members.select(F.lit("all").alias("ws"), "community", "name").distinct()).select("community", "summary")
+    got = kn.global_answer(c.join(text, "community", "left"), "which entities", kn.StubAnswerer())
+    return s.createDataFrame([(got.text, len(got.citations), got.skipped)], "answer string, themes int, skipped int")
+
+
+@query(f"WITH {o.CLUSTERABLE}, {LABELLED}, k AS (SELECT ws, community, name, row_number() OVER (PARTITION BY ws, community ORDER BY name) AS k, count(*) OVER (PARTITION BY ws, community) AS n FROM m) SELECT ws, community, any_value(n)::VARCHAR || ' entities: ' || string_agg(name, ', ' ORDER BY k) AS summary FROM k WHERE k <= 5 GROUP BY ALL")
+def stub_summaries(s, d):
+    return kn.stub_summary(_by_length(s, d))
+
+
+@query("SELECT o_orderkey AS token, o_custkey AS user_id FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01' OR o_orderpriority IS NULL")
+def valid_tokens(s, d):
+    rows = t.table(s, d, "orders").select(F.col("o_orderkey").alias("token"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderpriority").isNotNull(), F.col("o_orderdate")).alias("expires_at"))
+    return ac.valid(rows, F.lit("1997-01-01").cast("timestamp")).select("token", "user_id")
+
+
+@query(f"WITH {o.PAGES}, lk AS (SELECT doc_id AS from_page, doc_id + 20 AS to_page FROM documents) SELECT from_page, to_page, 1 AS place FROM lk JOIN pg a ON a.page_id = from_page JOIN pg b ON b.page_id = to_page WHERE a.ws = b.ws AND NOT a.archived AND NOT b.archived")
+def relation_backward(s, d):
+    links = t.table(s, d, "documents").select(F.col("doc_id").alias("from_page"), (F.col("doc_id") + 20).alias("to_page"), F.col("doc_id").alias("created_at"))
+    return ac.linked(links, t.pages(s, d), "to_page", "from_page").select("from_page", "to_page", "place")
+
+
+@query(f"WITH {o.PAGES}, {o.BLOCKS}, m AS (SELECT event_id AS comment_id, user_id AS page_id, ts FROM events WHERE event_type = 'click') SELECT comment_id, page_id FROM m SEMI JOIN (SELECT page_id FROM pg WHERE NOT archived) USING (page_id) ORDER BY ts DESC, comment_id DESC LIMIT 50")
+def mention_inbox(s, d):
+    c = t.table(s, d, "events").where(F.col("event_type") == "click").select(F.col("event_id").alias("comment_id"), F.col("user_id").alias("page_id"), F.col("ts").alias("created_at"))
+    return ac.mentions(c, c.select("comment_id", F.lit(1).alias("user_id")), t.pages(s, d), 1).select("comment_id", "page_id")
+
+
+@query("SELECT 'src' || (user_id % 20) AS ws, count(*) AS changed FROM events GROUP BY ALL")
+def stream_churn(s, d):
+    out = f"{s.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='churn-')}/churn-{uuid.uuid4().hex}"
+    events = log.read(s, f"{d}/event[s].parquet", t.table(s, d, "events").schema)
+    log.churn(events.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("ws")), f"{out}/batches", f"{out}/state")
+    return log.churn_total(s, f"{out}/batches")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
