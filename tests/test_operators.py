@@ -238,3 +238,20 @@ def test_stream_of_updates_adds_up_to_the_batch(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     log.churn(log.read(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / "check"))
     assert {r.ws: r.changed for r in log.churn_total(spark, str(tmp_path / "out")).collect()} == {"w0": 10, "w1": 10, "w2": 10}
+
+
+# The friendships of Zachary's karate club, by the lower member.
+KARATE = {
+    0: (1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 17, 19, 21, 31), 1: (2, 3, 7, 13, 17, 19, 21, 30), 2: (3, 7, 8, 9, 13, 27, 28, 32), 3: (7, 12, 13), 4: (6, 10), 5: (6, 10, 16), 6: (16,), 8: (30, 32, 33), 9: (33,), 13: (33,),
+    14: (32, 33), 15: (32, 33), 18: (32, 33), 19: (33,), 20: (32, 33), 22: (32, 33), 23: (25, 27, 29, 32, 33), 24: (25, 27, 31), 25: (31,), 26: (29, 33), 27: (33,), 28: (31, 33), 29: (32, 33), 30: (32, 33), 31: (32, 33), 32: (33,),
+}
+
+
+def test_karate_club_has_four_communities_of_known_modularity(spark):
+    edges = [(a, b, 1.0) for a, others in KARATE.items() for b in others]
+    assert len(edges) == 78
+    got = cm.louvain(34, edges)
+    assert len(set(got)) == 4
+    pairs = spark.createDataFrame([("w", str(a), str(b), w) for a, b, w in edges], "ws string, a string, b string, weight double")
+    members = spark.createDataFrame([("w", str(i), c) for i, c in enumerate(got)], "ws string, name string, community int")
+    assert cm.modularity(pairs, members).first()["q"] == pytest.approx(0.4188, abs=0.002)
