@@ -123,3 +123,56 @@ def test_a_changed_page_names_the_rollups_one_step_back(spark):
     links = spark.createDataFrame([("p", 1, 9), ("q", 2, 9), ("p", 3, 8)], "property_id string, from_page long, to_page long")
     rollups = spark.createDataFrame([("sum", '{"via": "p"}')], "rollup string, config string")
     assert [(r.rollup, r.page) for r in ac.rollup_dependents(links, rollups, 9).collect()] == [("sum", 1)]
+
+
+def test_provider_names_are_checked():
+    from quillgraph.operators import workers as wk
+
+    assert wk.provider("stub") == wk.Provider("stub") and wk.provider("ollama:m:7b") == wk.Provider("ollama", "m:7b")
+    for bad in ("", "ollama", "ollama:", "other:m", "stub:x"):
+        with pytest.raises(wk.ProviderError):
+            wk.provider(bad)
+
+
+def test_a_shared_chunk_is_extracted_once_and_given_to_each_tenant(spark):
+    from quillgraph.operators import workers as wk
+
+    pages = spark.createDataFrame([(1, "a", None, "", "Ann (Bob)", "h", False), (2, "b", None, "", "Ann (Bob)", "h", False), (3, "c", None, "", "Ann (Bob)", "h", True), (4, "a", None, "", "poison", "p", False)], PAGE)
+    done = spark.createDataFrame([], "hash string, ws string")
+
+    class Picky(wk.StubExtractor):
+        def extract(self, text):
+            if text == "poison":
+                raise ValueError
+            return super().extract(text)
+
+    got = wk.extracted(pages, done, Picky())
+    assert sorted((r.hash, r.failed) for r in got.collect()) == [("h", False), ("p", True)]
+    out = wk.fanned_out(got, pages).collect()
+    assert sorted(r.ws for r in out) == ["a", "b"] and out[0].names == ["Ann"]
+
+
+def test_draining_ends_when_nothing_moves_or_nothing_is_left():
+    from quillgraph.operators import workers as wk
+
+    steps = iter([5, 0, 3, 0, 0, 0, 9])
+    assert wk.drain(lambda: next(steps)) == 8
+    steps = iter([5, None])
+    assert wk.drain(lambda: next(steps)) == 5
+
+
+def test_full_run_keeps_what_is_known_of_surviving_communities(spark):
+    from quillgraph.operators import workers as wk
+
+    pages = spark.createDataFrame([(1, "w", None, "", "Ann Bob Cid Ann", "1", False), (2, "w", None, "", "Dan Eve Fay Dan", "2", False)], PAGE)
+    members, named = wk.full_run(pages)
+    assert sorted((r.name, r.community) for r in members.collect()) == [("ann", 0), ("bob", 0), ("cid", 0), ("dan", 1), ("eve", 1), ("fay", 1)]
+    known = named.where("community = 0").withColumn("summary", F.lit("text"))
+    assert sorted((r.community, r.summary) for r in wk.full_run(pages, known)[1].collect()) == [(0, "text"), (1, None)]
+
+
+def test_plugins_see_their_host(spark):
+    from quillgraph.operators import workers as wk
+
+    wk.Plugins(spark, "w", {"sep": "-"}).register("tagged", lambda host, x: f"{host['ws']}{host['settings']['sep']}{x}", "string")
+    assert spark.sql("SELECT tagged('a') AS x").first()["x"] == "w-a"
