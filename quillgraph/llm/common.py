@@ -31,6 +31,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """settle(), read back in no more partitions than have so many rows each: for narrow frames that a few tasks can read."""
+    out = settle(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
+def sent_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than that; else left to a shuffled join. df is settled, and narrow."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
@@ -63,7 +74,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash by word (bytes). Forgets all once it holds too many."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import n_words, settle, table, unit
+from quillgraph.llm.common import n_words, sent_if_small, settle, table, unit
 
 #: Documents of a source that fall into one step of its Pareto order on average; what is sorted finely is two such
 #: steps and as many documents again as CLOSING, however large the source.
@@ -61,7 +61,8 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, weights: Sequenc
     aims = aims.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     aims = aims.withColumn("whole", F.floor(F.col("rate")).cast("long"))
     aims = aims.withColumns({"p": F.col("rate") - F.col("whole"), "rest": F.col("target") - F.col("whole") * F.col("source_size"), "steps": F.greatest(F.lit(1), F.floor(F.col("n") / PER_STEP)).cast("long")})
-    aims = settle(aims)
+    # a hot source's rows stay where they are, as long as there are few sources
+    aims = sent_if_small(settle(aims))
 
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     d = sized.join(aims, "skey").where(F.col("p") > 0).select("skey", "rid", "doc_id", "size", "rest", odds.alias("q"), F.floor(F.col("u") * F.col("steps")).alias("step"))
@@ -73,7 +74,7 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, weights: Sequenc
         F.min_by(F.struct("step", "docs_end", (F.col("rest") - F.col("end") + F.col("words")).alias("gap")), "step").alias("c"))
     last = cells.join(cut, "skey").where(F.col("step") > F.col("c.step")).where(F.col("docs_end") - F.col("m") < F.col("c.docs_end") + CLOSING)
     cut = cut.join(last.groupBy("skey").agg(F.max("step").alias("last")), "skey", "left").select("skey", F.col("c.step").alias("step"), F.col("c.gap").alias("gap"), F.coalesce("last", "c.step").alias("last"))
-    cut = settle(cut)
+    cut = sent_if_small(settle(cut))
 
     zone = d.drop("rest").alias("d").join(cut.alias("c"), "skey").where(F.col("d.step").between(F.col("c.step"), F.col("last")))
     zone = zone.groupBy("skey", "gap").agg(F.array_sort(F.collect_list(F.struct("q", "doc_id", "rid", "size"))).alias("docs"))
@@ -81,8 +82,8 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, weights: Sequenc
         (a, x) -> if(x.size <= a.left, named_struct('left', a.left - x.size, 'picks', array_append(a.picks, x.rid)), a), a -> a.picks)""")
     picks = zone.select(F.explode(picked).alias("rid")).withColumn("more", F.lit(1))
 
-    out = sized.join(aims.select("skey", "source_size", "target", "whole", "p"), "skey").join(cut.select("skey", F.col("step").alias("cut"), F.lit(1).alias("is_cut")), "skey", "left")
-    out = out.join(aims.select("skey", "steps"), "skey").join(picks, "rid", "left")
+    out = sized.join(aims.select("skey", "source_size", "target", "whole", "p", "steps"), "skey").join(cut.select("skey", F.col("step").alias("cut"), F.lit(1).alias("is_cut")), "skey", "left")
+    out = out.join(picks, "rid", "left")
     before = F.when(F.col("p") <= 0, 0).when(F.col("is_cut").isNull(), 1).when(F.floor(F.col("u") * F.col("steps")) < F.col("cut"), 1).otherwise(F.coalesce("more", F.lit(0)))
     copies = (F.col("whole") + before).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
