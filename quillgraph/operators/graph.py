@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import is_plausible_entity, normalised_entity, words
-from quillgraph.functions.text import ALNUM_EDGES
+from quillgraph.functions.text import ALNUM_EDGES, is_plausible_entity, normalised_entity, words
 from quillgraph.operators.predicates import live
+from quillgraph.plans.settle import settled
 
 MAX_HOPS = 2
 RRF, DECAY = 60, 0.5
@@ -72,7 +72,7 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     Edges go both ways by a union, not by an OR in the join. After each hop an entity keeps its widest bottleneck for
     each seed rank, which no longer path can better, so there are no more rows than entities times ranks.
     """
-    e = edges.select("ws", "source", "target", "hash", "weight")
+    e = settled(edges.select("ws", "source", "target", "hash", "weight"))
     both = e.unionByName(e.select("ws", F.col("target").alias("source"), F.col("source").alias("target"), "hash", "weight"))
     seeds = seeds.groupBy("ws", "hash").agg(F.min("rank").alias("rank"))
     ends = e.join(seeds, ["ws", "hash"]).select("ws", F.explode(F.array("source", "target")).alias("name"), "rank")

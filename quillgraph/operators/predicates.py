@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.plans.settle import settled
+
 
 def live(pages: DataFrame) -> DataFrame:
     return pages.where(~F.col("archived"))
@@ -24,14 +26,14 @@ def readable(pages: DataFrame, acls: DataFrame, depth: int = 100) -> DataFrame:
     Every page looks for its override a level further up each round, so rounds are the depth of the tree and rows
     never more than the pages.
     """
-    p = pages.select("page_id", "parent_id").join(acls.select("page_id", "access"), "page_id", "left")
+    p = settled(pages.select("page_id", "parent_id").join(acls.select("page_id", "access"), "page_id", "left"))
     up = p.select(F.col("page_id").alias("up"), F.col("parent_id").alias("next"), F.col("access").alias("found"))
     done = p.where(F.col("access").isNotNull() | F.col("parent_id").isNull()).select("page_id", F.coalesce("access", F.lit("read")).alias("access"))
     open_ = p.where(F.col("access").isNull() & F.col("parent_id").isNotNull()).select("page_id", F.col("parent_id").alias("at"))
     for _ in range(depth):
         step = open_.join(up, F.col("at") == F.col("up"))
         done = done.unionByName(step.where(F.col("found").isNotNull() | F.col("next").isNull()).select("page_id", F.coalesce("found", F.lit("read")).alias("access")))
-        open_ = step.where(F.col("found").isNull() & F.col("next").isNotNull()).select("page_id", F.col("next").alias("at"))
+        open_ = settled(step.where(F.col("found").isNull() & F.col("next").isNotNull()).select("page_id", F.col("next").alias("at")))
         if open_.isEmpty():
             break
     return done.where(F.col("access") != "none")
@@ -39,11 +41,11 @@ def readable(pages: DataFrame, acls: DataFrame, depth: int = 100) -> DataFrame:
 
 def subtree(pages: DataFrame, root: int, depth: int = 100) -> DataFrame:
     """page_id of a live page and of the live pages below it through live ones."""
-    p = live(pages).select("page_id", "parent_id")
+    p = settled(live(pages).select("page_id", "parent_id"))
     level = p.where(F.col("page_id") == root).select("page_id")
     out = level
     for _ in range(depth):
-        level = p.join(level.select(F.col("page_id").alias("parent_id")), "parent_id").select("page_id")
+        level = settled(p.join(level.select(F.col("page_id").alias("parent_id")), "parent_id").select("page_id"))
         if level.isEmpty():
             break
         out = out.unionByName(level)
