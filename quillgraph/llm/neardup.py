@@ -8,9 +8,10 @@ No list is taken whole to make all pairs of it. Two sketches of linked sets shar
 with a probability of 2e-8 at a resemblance of just 0.8; sets of up to EXACT shingles are retained whole and share what
 the threshold says). So their rarest K - LEAST + 3 values, by how many classes retain them, have three in common, and
 only the lists of these are made. Of lists with up to SHORT classes all pairs are made, and those that share two such
-lists are kept. Of longer ones each class is compared with the list's hub, the class whose values are the most
-widespread; and then, whatever has not come into the component that holds most of the list, with all of the list
-outside its own component.
+lists are kept. Of longer ones each class is compared with the list's HUBS, the classes whose values are the most
+widespread. What then has not come into the component that holds most of a list is looked for by full sets: shingles
+in the order of how many classes of long lists have them, the first one that two sets share leaves them no more in
+common than what follows it in either, so it has to be early in both.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import WordHashes, mixed, settle, table
+from quillgraph.llm.common import WordHashes, compact, mixed, settle, table
 from quillgraph.llm.components import components
 
 K = 64
 LEAST, EXACT = 31, 51
 SHORT = 16
+#: Classes of a long list that all others of it are compared with at first.
+HUBS = 8
 #: Estimates below this are dropped: LEAST of K.
 MAYBE = 0.48
 TIMES = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -158,21 +161,47 @@ class Linker:
         self.docs, self.classes, self.size, self.least = docs, classes, size, least
 
     def may_link(self, pairs: DataFrame) -> DataFrame:
-        s = self.classes.select("vid", "sketch")
+        ends = ends_of(pairs)
+        s = compact(self.classes.select("vid", "sketch").join(ends, "vid", "left_semi"), 20_000)
         p = pairs.join(s.select(F.col("vid").alias("a"), F.col("sketch").alias("x")), "a").join(s.select(F.col("vid").alias("b"), F.col("sketch").alias("y")), "b")
-        return settle(p.select("a", "b", "x", "y").mapInArrow(estimated, "a long, b long"))
+        return compact(p.select("a", "b", "x", "y").mapInArrow(estimated, "a long, b long"))
+
+    def early(self, some: DataFrame) -> DataFrame:
+        """(vid, value, i, n): of the full sets of some classes, the shingles that may be the first shared by a linked
+        pair of these, rarest among these first, with their places."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for vid, members in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    values = np.frombuffer(members.as_py(), np.int64)
+                    for i in range(0, len(values), 50_000):
+                        v = values[i : i + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), vid)), pa.array(v), pa.array(np.full(len(v), len(values)))], ["vid", "value", "n"])
+
+        full = sets_of(self.docs, self.classes.join(some, "vid").select("vid", "id", "sig"), self.size)
+        values = compact(full.mapInArrow(spread, "vid long, value long, n long"), 500_000)
+        spread_over = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 2)
+        per = values.join(spread_over, "value").groupBy("vid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
+        # shingles of one class alone come first and find no partner
+        per = per.select("vid", "n", F.size("values").alias("shared"), F.posexplode("values.value").alias("i", "value"))
+        per = per.select("vid", "value", "n", (F.col("i") + F.col("n") - F.col("shared")).alias("i"))
+        return compact(per.where((F.col("n") - F.col("i")) * 100 >= F.col("n") * self.least))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-        full = settle(sets_of(self.docs, self.classes.join(ends, "vid").select("vid", "id", "sig"), self.size))
+        ends = ends_of(pairs)
+        full = compact(sets_of(self.docs, self.classes.join(ends, "vid").select("vid", "id", "sig"), self.size), 10_000)
         p = pairs.join(full.select(F.col("vid").alias("a"), F.col("members").alias("x")), "a").join(full.select(F.col("vid").alias("b"), F.col("members").alias("y")), "b")
-        return settle(p.select("a", "b", "x", "y").mapInArrow(confirming(self.least), "a long, b long"))
+        return compact(p.select("a", "b", "x", "y").mapInArrow(confirming(self.least), "a long, b long"))
 
 
 def pair_of(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
+
+
 def near(x, y):
     """Whether set sizes allow the link."""
     return F.least(x, y) * 5 >= F.greatest(x, y) * 4
@@ -188,9 +217,9 @@ def links(docs: DataFrame, classes: DataFrame, size: int, least: int) -> DataFra
     c = F.when(o >= 12, 3).otherwise(1)
     # values of one class only come first, have no partner and take their places
     slots = F.size("values") - o + c
-    rare = settle(per.where(slots > 0).select("vid", "n", (F.col("reach") / F.col("kept")).alias("reach"), c.alias("c"), F.slice("values", F.lit(1), slots).alias("values")))
+    rare = compact(per.where(slots > 0).select("vid", "n", (F.col("reach") / F.col("kept")).alias("reach"), c.alias("c"), F.slice("values", F.lit(1), slots).alias("values")), 20_000)
     posts = rare.select("vid", "n", "reach", "c", F.explode("values.value").alias("value"))
-    sizes = settle(posts.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= 2))
+    sizes = compact(posts.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= 2))
 
     lists = posts.join(sizes.where(F.col("m") <= SHORT), "value").groupBy("value").agg(F.collect_list(F.struct("vid", "n", "c")).alias("l"))
     later = lambda x, i: F.transform(F.filter(F.slice(F.col("l"), i + 2, F.size("l")), lambda y: near(x["n"], y["n"])), lambda y: F.struct(*pair_of(x["vid"], y["vid"]), F.least(x["c"], y["c"]).alias("c")))
@@ -199,36 +228,40 @@ def links(docs: DataFrame, classes: DataFrame, size: int, least: int) -> DataFra
 
     long = posts.join(sizes.where(F.col("m") > SHORT).select("value"), "value")
     enough = long.groupBy("vid").agg(F.count(F.lit(1)).alias("t"), F.min("c").alias("least")).where((F.col("t") >= 2) | (F.col("least") == 1)).select("vid")
-    long = settle(long.join(enough, "vid"))
+    long = compact(long.join(enough, "vid"))
     any_long = not long.isEmpty()
     if any_long:
-        hubs = long.groupBy("value").agg(F.max_by(F.struct("vid", "n"), F.struct("reach", -F.col("vid"))).alias("hub"))
+        # the most widespread of each of HUBS parts of the list
+        part = F.pmod(F.xxhash64("vid"), F.lit(HUBS))
+        hubs = long.groupBy("value", part.alias("k")).agg(F.max_by(F.struct("vid", "n"), F.struct("reach", -F.col("vid"))).alias("hub"))
         stars = long.join(hubs, "value").where((F.col("vid") != F.col("hub.vid")) & near(F.col("n"), F.col("hub.n")))
-        pairs = pairs.unionByName(stars.select(*pair_of(F.col("vid"), F.col("hub.vid")))).distinct()
+        pairs = compact(pairs.unionByName(stars.select(*pair_of(F.col("vid"), F.col("hub.vid")))).distinct())
     maybe = linker.may_link(pairs)
 
     # first each class with the partner of the widest reach, which connects most groups; then what this left apart
     reach = rare.select(F.col("vid").alias("y"), "reach")
     sides = maybe.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(maybe.select(F.col("b").alias("x"), F.col("a").alias("y")))
     first = sides.join(reach, "y").groupBy("x").agg(F.max_by("y", F.struct("reach", -F.col("y"))).alias("y")).select(*pair_of(F.col("x"), F.col("y"))).distinct()
-    found = linker.confirmed(settle(first))
+    first = compact(first)
+    found = linker.confirmed(first)
     if found.isEmpty() and not any_long and maybe.isEmpty():
         return None
     roots = settle(components(found))
-    rest = settle(rooted(rooted(maybe, roots, "a"), roots, "b").where(F.col("a_root") != F.col("b_root")).select("a", "b").join(first, ["a", "b"], "left_anti"))
+    rest = compact(rooted(rooted(maybe, roots, "a"), roots, "b").where(F.col("a_root") != F.col("b_root")).select("a", "b").join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        found = settle(found.unionByName(linker.confirmed(rest)))
+        found = compact(found.unionByName(linker.confirmed(rest)))
         roots = settle(components(found)) if any_long else roots
     if any_long:
         at = long.join(roots.select(F.col("v").alias("vid"), "root"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
         main = at.groupBy("value", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max_by("root", F.struct("m", -F.col("root"))).alias("main"), F.count(F.lit(1)).alias("roots"))
-        at = settle(at.join(main.where(F.col("roots") > 1), "value"))
-        out = at.where(F.col("root") != F.col("main")).select("value", F.col("vid").alias("x"), F.col("n").alias("xn"), F.col("root").alias("x_root"))
-        more = out.join(at.select("value", "vid", "n", "root"), "value").where((F.col("root") != F.col("x_root")) & near(F.col("n"), F.col("xn")))
-        more = more.select(*pair_of(F.col("x"), F.col("vid"))).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = linker.may_link(more)
+        at = compact(at.join(main.where(F.col("roots") > 1), "value").groupBy("vid").agg(F.first("root").alias("root"), F.bool_or(F.col("root") != F.col("main")).alias("out")))
+        first = linker.early(at.select("vid")).join(at, "vid")
+        other = first.select("value", F.col("vid").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("y_root"))
+        can = near(F.col("n"), F.col("m")) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (100 + least) >= (F.col("n") + F.col("m")) * least)
+        more = first.where("out").join(other, "value").where((F.col("root") != F.col("y_root")) & can)
+        more = linker.may_link(more.select(*pair_of(F.col("vid"), F.col("y"))).distinct().join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            found = found.unionByName(linker.confirmed(more))
+            found = compact(found.unionByName(linker.confirmed(more)))
     return found
 
 
@@ -245,7 +278,7 @@ def groups(docs: DataFrame, size: int = 2, least: int = 80) -> DataFrame:
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
-    rows = settle(read.mapInArrow(sketching(size), schema))
+    rows = read.mapInArrow(sketching(size), schema)
     classes = rows.where(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = settle(classes.withColumn("vid", F.monotonically_increasing_id()))
     found = links(read, classes, size, least)
