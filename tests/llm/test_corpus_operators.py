@@ -222,6 +222,29 @@ def test_candidate_search_recalls_what_all_comparisons_find(spark, sf):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def edited(r, words, every):
+    """words with one of every so many replaced."""
+    return [f"u{r.randrange(10**6)}" if k % every == every - 1 else w for k, w in enumerate(words)]
+
+
+def test_leaks_are_found_where_passages_outnumber_the_space(spark, monkeypatch):
+    """Verbatim copies, and copies with a word in six replaced, of which no eight words stand in a row."""
+    monkeypatch.setattr(decontam, "RANK", 24)
+    r = random.Random(16)
+    common = ["the", "of", "and", "to", "in"]
+    word = lambda: r.choice(common) if r.random() < 0.4 else f"v{r.randrange(4000)}"
+    items = [(i, [word() for _ in range(r.choice([23, 31, 46, 64]))]) for i in range(400)]
+    rows = []
+    for i in range(0, 400, 4):
+        w = [word() for _ in range(150)]
+        w[61:61] = items[i][1] if i % 8 else edited(r, items[i][1], 6)
+        rows.append((i, " ".join(w)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {x.doc_id: [h.item_id for h in x.hits] for x in decontam.find(spark.createDataFrame(rows, DOC), bench).collect()}
+    assert [i for i in got if i % 8 and i not in got[i]] == []
+    assert len([i for i in got if i not in got[i]]) <= 5 and not [i for i in got if set(got[i]) - {i}]
+
+
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path, sf):
     r = random.Random(8)
     bench = {x.item_id: x.text for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
