@@ -245,6 +245,22 @@ def test_leaks_are_found_where_passages_outnumber_the_space(spark, monkeypatch):
     assert len([i for i in got if i not in got[i]]) <= 5 and not [i for i in got if set(got[i]) - {i}]
 
 
+def test_leaks_are_found_whatever_the_number_of_documents(spark, monkeypatch):
+    """Edited copies of 23 to 31 words among words that no item has; document frequencies as of 3,000,000 documents."""
+    r = random.Random(17)
+    items = [(i, [f"v{r.randrange(300)}" for _ in range(r.randrange(23, 32))]) for i in range(40)]
+    rows = []
+    for i, passage in items:
+        w = [f"x{r.randrange(10**6)}" for _ in range(150)]
+        w[61:61] = edited(r, passage, 6)
+        rows.append((i, " ".join(w)))
+    plain = decontam.document_frequencies
+    monkeypatch.setattr(decontam, "document_frequencies", lambda docs, words: (plain(docs, words)[0] * 75_000, 3_000_000))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {x.doc_id: [h.item_id for h in x.hits] for x in decontam.find(spark.createDataFrame(rows, DOC), bench).collect()}
+    assert got == {i: [i] for i, _ in items}
+
+
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path, sf):
     r = random.Random(8)
     bench = {x.item_id: x.text for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
