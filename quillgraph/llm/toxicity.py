@@ -31,9 +31,10 @@ LEAST_PAIRS = 3
 #: Standard errors by which document frequencies have to differ.
 APART = 4.0
 DISCOUNT = 0.75
-#: Left neighbours are told apart by so many hash bits' worth of buckets; a word's number of them is estimated from
-#: how many buckets stay empty, which merges over partitions by bitwise or.
-BUCKETS = 256
+#: Left neighbours are told apart by so many bits of their hash; with a word's place they fill 63.
+HASH = 47
+#: Pairs of words that a task holds at once.
+PAIRS = 1_000_000
 BLOCK = 400
 
 
@@ -87,33 +88,39 @@ class Model:
 
 
 def neighbours(shared) -> object:
-    """mapInArrow: (word, bits) once a partition; the buckets that some left neighbour falls into.
-
-    A byte for each bucket as long as these are shorter than a bit for every one.
-    """
+    """mapInArrow: (pair), a word's place and the low HASH bits of its left neighbour's hash; each pair once for every PAIRS words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        size = len(words) + 1
-        seen = np.zeros((size, BUCKETS), dtype=bool)
-        buckets: dict[str, int] = {}
+        hashes: dict[str, int] = {}
+        kept, n = [], 0
         for b in batches:
             for text in b.column(0).to_pylist():
                 t = tokens(text)
                 if len(t) < 2:
                     continue
                 at = np.fromiter(map(words.__getitem__, t), np.int64, len(t))
-                h = np.fromiter((hash_of(w, buckets) for w in t[:-1]), np.int64, len(t) - 1)
-                seen[at[1:], h] = True
-        found = np.flatnonzero(seen.any(axis=1))
-        for i in range(0, len(found), 5000):
-            part = found[i : i + 5000]
-            packed = [np.flatnonzero(r).astype(np.uint8).tobytes() if r.sum() < BUCKETS // 8 else np.packbits(r).tobytes() for r in seen[part]]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(packed, pa.binary())], ["word", "bits"])
+                h = np.fromiter((hash_of(w, hashes) for w in t[:-1]), np.int64, len(t) - 1)
+                kept.append(at[1:] << HASH | h)
+                n += len(h)
+                if n >= PAIRS:
+                    kept = [np.unique(np.concatenate(kept))]
+                    # what is known once over stays, unless it is most of what there may be
+                    n = len(kept[0])
+                    if n > PAIRS // 2:
+                        yield from pairs_out(kept[0])
+                        kept, n = [], 0
+        if kept:
+            yield from pairs_out(np.unique(np.concatenate(kept)))
 
     return run
 
 
+def pairs_out(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(pairs), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000])], ["pair"])
+
+
 def hash_of(word: str, known: dict[str, int]) -> int:
     h = known.get(word)
     if h is None:
@@ -121,33 +128,17 @@ def hash_of(word: str, known: dict[str, int]) -> int:
 
         if len(known) > 300_000:
             known.clear()
-        h = known[word] = xxhash.xxh64_intdigest(word) % BUCKETS
+        h = known[word] = xxhash.xxh64_intdigest(word) & (1 << HASH) - 1
     return h
 
 
-def merged_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the bits of each word by or; a partition has all rows of its words, BUCKETS bytes a word in memory."""
-    kept: dict[int, np.ndarray] = {}
-    for b in batches:
-        for w, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            row = np.frombuffer(bits, np.uint8)
-            at = kept.setdefault(w, np.zeros(BUCKETS, bool))
-            if len(row) < BUCKETS // 8:
-                at[row] = True
-            else:
-                at |= np.unpackbits(row).astype(bool)
-    n = [int(r.sum()) for r in kept.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(n, pa.int64())], ["word", "full"])
-
-
 def shared_backoff(docs: DataFrame, words: Words) -> np.ndarray:
-    """By word, how many left neighbours it has in all of docs, as estimated."""
+    """By word, how many left neighbours it has in all of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    bits = docs.select("text").mapInArrow(neighbours(shared), "word long, bits binary")
-    full = bits.repartition("word").mapInArrow(merged_bits, "word long, full long")
+    pairs = docs.select("text").mapInArrow(neighbours(shared), "pair long").distinct()
     out = np.zeros(len(words) + 1)
-    for r in full.collect():  # at most WORDS rows
-        out[r["word"]] = -BUCKETS * np.log(1 - min(r["full"], BUCKETS - 1) / BUCKETS)
+    for r in pairs.groupBy(F.shiftright("pair", HASH).alias("word")).agg(F.count(F.lit(1)).alias("n")).collect():  # at most WORDS rows
+        out[r["word"]] = r["n"]
     return out
 
 

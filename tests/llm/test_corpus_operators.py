@@ -102,6 +102,19 @@ def removed(texts, n=35):
     return sorted(out)
 
 
+def test_left_neighbours_are_counted_exactly(spark, monkeypatch):
+    """A word with more left neighbours than any number of buckets that a sketch would have, in several flushes."""
+    monkeypatch.setattr(toxicity, "PAIRS", 1_000, raising=False)
+    texts = [" ".join(f"l{i * 50 + k} often" for k in range(50)) for i in range(200)] * 2 + ["rare often", "a rare", "b rare", None, "often"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = toxicity.Words({"often": 1, "rare": 2})
+    want = [set(), set(), set()]
+    for t in texts:
+        for a, b in zip((t or "").split(), (t or "").split()[1:], strict=False):
+            want[words[b]].add(a)
+    assert toxicity.shared_backoff(docs, words).tolist() == [len(x) for x in want]
+
+
 @pytest.mark.parametrize("frequent", [2000, 3])
 def test_repeated_windows_are_removed_exactly(spark, monkeypatch, frequent):
     monkeypatch.setattr(substring, "FREQUENT", frequent)
