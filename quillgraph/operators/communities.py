@@ -132,6 +132,14 @@ def pending_summaries(communities: DataFrame, summaries: DataFrame, model: str)
     return j.where(stale & (F.col("n_members") > 0)).select("ws", "community", "member_hash", "n_members", urgency(F.col("of").isNotNull(), changed, F.col("n_members")).alias("urgency"))
 
 
+def summary_progress(communities: DataFrame, summaries: DataFrame, model: str) -> DataFrame:
+    """done, total of communities that have members: done are those whose summary is of these members and this model."""
+    s = summaries.select("ws", "community", F.col("member_hash").alias("of"), "model")
+    j = communities.where(F.col("n_members") > 0).join(s, ["ws", "community"], "left")
+    fresh = F.col("of").eqNullSafe(F.col("member_hash")) & F.col("model").eqNullSafe(F.lit(model))
+    return j.agg(F.count_if(fresh).alias("done"), F.count(F.lit(1)).alias("total"))
+
+
 def summaries_by_size(communities: DataFrame, limit: int = 8) -> DataFrame:
     return communities.orderBy(F.desc("n_members"), "ws", "community").limit(max(1, min(limit, 50)))
 

@@ -255,3 +255,12 @@ def test_karate_club_has_four_communities_of_known_modularity(spark):
     pairs = spark.createDataFrame([("w", str(a), str(b), w) for a, b, w in edges], "ws string, a string, b string, weight double")
     members = spark.createDataFrame([("w", str(i), c) for i, c in enumerate(got)], "ws string, name string, community int")
     assert cm.modularity(pairs, members).first()["q"] == pytest.approx(0.4188, abs=0.002)
+
+
+def test_summary_progress_counts_all_but_pending_summaries(spark):
+    from quillgraph.operators import communities
+
+    c = spark.createDataFrame([("a", i, f"h{i}", 0 if i == 5 else 3) for i in range(6)], "ws string, community int, member_hash string, n_members int")
+    s = spark.createDataFrame([("a", 0, "h0", "m"), ("a", 1, "old", "m"), ("a", 2, "h2", "other"), ("b", 3, "h3", "m"), ("a", 5, "h5", "m")], "ws string, community int, member_hash string, model string")
+    assert communities.summary_progress(c, s, "m").collect() == [(1, 5)]
+    assert communities.pending_summaries(c, s, "m").count() == 4
