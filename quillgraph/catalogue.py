@@ -448,9 +448,12 @@ SELECT 'embed' AS stage, count(*) FILTER (hash IN (SELECT hash FROM embedded)) A
 
 @query()
 def local_answer(s, d):
-    p = t.pages(s, d)
-    hits = gr.with_reserved_slots(gr.local_hits(gr.walk(_clusterable(s, d), _seeds(s, d)), p, _readable(s, d), 24), 8)
-    got = kn.local_answer(hits, p, gr.seed_entities(_clusterable(s, d), _seeds(s, d)), "what is the", kn.StubAnswerer())
+    """The question's words and, as there is no model here, the vector of page 0 search all readable pages."""
+    p, e, question = t.pages(s, d), t.embeddings(s, d).select("page_id", "embedding"), "what is the"
+    q = e.where(F.col("page_id") == 0).first()["embedding"]
+    seeds = gr.seeds_from_pages(search.hybrid(p, t.blocks(p), e, question.split(), q, _readable(s, d), 0.75), p)
+    hits = gr.with_reserved_slots(gr.local_hits(gr.walk(_clusterable(s, d), seeds), p, _readable(s, d), 24), 8)
+    got = kn.local_answer(hits, p, gr.seed_entities(_clusterable(s, d), seeds), question, kn.StubAnswerer())
     return s.createDataFrame([(got.text, len(got.citations), len(got.subjects))], "answer string, citations int, subjects int")
 
 

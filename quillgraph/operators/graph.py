@@ -66,6 +66,12 @@ def seed_entities(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return edges.join(seeds.select("ws", "hash").distinct(), ["ws", "hash"], "left_semi").select("ws", F.explode(F.array("source", "target")).alias("name")).distinct()
 
 
+def seeds_from_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """ws, hash, rank: every chunk of a page has the page's rank among the hits (page_id, score, lexical) of a search."""
+    ranked = hits.select("page_id", F.row_number().over(W.orderBy(F.desc("score"), F.desc("lexical"), "page_id")).alias("rank"))
+    return pages.join(ranked, "page_id").select("ws", "hash", "rank")
+
+
 def walk(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """ws, hash, hops, score: the best evidence of each chunk within so many hops of the seeds (ws, hash, rank).
 

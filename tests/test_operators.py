@@ -264,3 +264,11 @@ def test_summary_progress_counts_all_but_pending_summaries(spark):
     s = spark.createDataFrame([("a", 0, "h0", "m"), ("a", 1, "old", "m"), ("a", 2, "h2", "other"), ("b", 3, "h3", "m"), ("a", 5, "h5", "m")], "ws string, community int, member_hash string, model string")
     assert communities.summary_progress(c, s, "m").collect() == [(1, 5)]
     assert communities.pending_summaries(c, s, "m").count() == 4
+
+
+def test_seeds_are_all_chunks_of_the_pages_found(spark):
+    from quillgraph.operators import graph
+
+    hits = spark.createDataFrame([(7, 0.2, False), (4, 0.5, False), (9, 0.2, True)], "page_id long, score double, lexical boolean")
+    pages = spark.createDataFrame([(4, "w", "a"), (4, "w", "b"), (7, "w", "c"), (9, "v", "d"), (1, "w", "e")], "page_id long, ws string, hash string")
+    assert {tuple(r) for r in graph.seeds_from_pages(hits, pages).collect()} == {("w", "a", 1), ("w", "b", 1), ("v", "d", 2), ("w", "c", 3)}
