@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -20,15 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the session's shared folder.
-
-    A folder of its own is set only where the session names none, as in tests.
+    """df written as Parquet in the session's shared folder, and read from there: no lineage, no plan and no guess at its
+    size goes on. (checkpoint() passes on sizes that grow as products over joins; planning these took most of the time.)
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written between steps, spark.checkpoint.dir; an error if none is set: what one executor
+    writes to a folder of its own no other sees."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else ""
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
 def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
