@@ -23,8 +23,10 @@ WINDOW = 20
 #: Bits a character that the most mixed window of a class reaches in a secret. 20 hex digits drawn at random have
 #: 3.2 bits on average, 20 of 62 characters 4.0.
 HEX_BITS, MIXED_BITS = 2.8, 3.5
-#: What looks random and is no secret: UUIDs, addresses, paths and names of letters with joints, version numbers and dates.
-ALLOWED = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:(?:https?:?)?//|www\.).*|[./_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[./_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[./_=+-]*|[0-9.+/_=-]+|.*\.(?:com|org|net|html?|php|js|css|png|jpe?g|gif)[.]?)$"
+#: What looks random and is no secret: UUIDs, addresses, version numbers and dates; and, tested part by part, paths and
+#: names of letters with joints. (A repeated group would need stack for each repetition.)
+ALLOWED = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:(?:https?:?)?//|www\.).*|[0-9.+/_=-]+|.*\.(?:com|org|net|html?|php|js|css|png|jpe?g|gif)[.]?)$"
+JOINTS, PART = "[./_=+-]+", "^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}|)$"
 
 
 def most_entropy(text: Column, window: int = WINDOW) -> Column:
@@ -59,7 +61,8 @@ def secret_kind(hit: Column) -> Column:
     """The place in KINDS of a candidate that its entropy gives away; null for all others."""
     is_hex = hit.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & hit.rlike("[0-9]") & hit.rlike("[A-Fa-f]")
     classes = sum((F.when(hit.rlike(c), 1).otherwise(0) for c in ("[a-z]", "[A-Z]", "[0-9]")), F.lit(0))
-    likely = F.when(hit.rlike(ALLOWED), None).when(is_hex, F.when(most_entropy(hit) >= HEX_BITS, 2)).when((classes >= 2) & hit.rlike("[0-9]"), F.when(most_entropy(hit) >= MIXED_BITS, 3))
+    named = F.forall(F.split(hit, JOINTS), lambda part: part.rlike(PART))
+    likely = F.when(hit.rlike(ALLOWED) | named, None).when(is_hex, F.when(most_entropy(hit) >= HEX_BITS, 2)).when((classes >= 2) & hit.rlike("[0-9]"), F.when(most_entropy(hit) >= MIXED_BITS, 3))
     return likely.cast("int")
 
 

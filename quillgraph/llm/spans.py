@@ -6,6 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Matches whose running sums one fold makes; a fold copies what it has so far for each of them.
+SUMS = 256
+
+
+def bound(col: Column, use) -> Column:
+    """use(col) with col made once, where use reads it again and again."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
+def summed(lengths: Column) -> Column:
+    """Running sums."""
+    return F.aggregate(lengths, F.array().cast("array<int>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))
+
+
+def one_at(x: Column, i: Column, blocks: Column, begins: Column) -> Column:
+    k = F.floor(i / SUMS).cast("int")
+    end = F.get(F.get(blocks, k), i % SUMS) + F.when(k > 0, F.get(begins, k - 1)).otherwise(F.lit(0))
+    return F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("hit"))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """[(start, end, hit)] of the leftmost matches that do not overlap; end is exclusive.
 
@@ -13,15 +33,22 @@ def spans(text: Column, pattern: str) -> Column:
     its place; \\G keeps a gap that nothing follows from being tried from each of its characters. So \\G in a pattern is the end of the match before.
     """
     whole = F.lit(rf"(?s)\G(.*?)({pattern})")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, whole, F.lit(1)).alias("gap"), F.regexp_extract_all(text, whole, F.lit(2)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
-    def step(a: Column, x: Column) -> Column:
-        first = a["at"] + F.length(x["gap"])
-        end = first + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(first.alias("start"), end.alias("end"), x["hit"].alias("hit"))).alias("out"))
+    def placed(pairs: Column) -> Column:
+        """Ends are running sums of lengths, made in one fold over blocks of SUMS matches, so that no long array is copied for every match."""
+        lengths = F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["hit"]))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(pairs) - 1) / SUMS)).cast("int")), lambda k: summed(F.slice(lengths, k * SUMS + 1, F.lit(SUMS))))
 
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+        def within(blocks: Column) -> Column:
+            # where each block begins
+            begins = summed(F.transform(blocks, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0))))
+            return bound(begins, lambda at: F.transform(pairs, lambda x, i: one_at(x, i, blocks, at)))
+
+        return bound(blocks, within)
+
+    pairs = F.arrays_zip(F.regexp_extract_all(text, whole, F.lit(1)).alias("gap"), F.regexp_extract_all(text, whole, F.lit(2)).alias("hit"))
+    return bound(pairs, lambda p: F.when(F.size(p) == 0, none).otherwise(placed(p)))
 
 
 def where_any(text: Column, hint: str, found: Column) -> Column:
