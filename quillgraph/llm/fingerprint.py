@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import SPACE, ascii_lower, settle, table
+from quillgraph.llm.spans import bound
 
 SHINGLE = 5
 #: One in so many hashes is retained.
@@ -21,16 +22,12 @@ SCALE = 8
 PER_STEP, STEPS = 1000, 1 << 14
 
 
-def bound(col: Column, use) -> Column:
-    """use(col) with col made once, where use reads it again and again."""
-    return F.get(F.transform(F.array(col), use), F.lit(0))
-
-
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """The retained hashes, distinct and sorted, as array<bigint>.
 
     Words are ASCII-lower-cased. A text of fewer words than a shingle is one shingle; a text without words has none.
-    Where no hash is below the fraction the least one is kept, so that only texts without words have empty sketches.
+    Short texts may have none below the fraction, too; nothing else is kept, so that the sketch of two texts' shingles is
+    always the union of their sketches.
     """
     most = F.lit(-(2**63) + 2**64 // scale)
     trimmed = F.trim(ascii_lower(text), F.lit(" \t\n\x0b\x0c\r"))
@@ -41,8 +38,7 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
         return F.when(F.size(h) >= shingle, many).otherwise(F.array(F.xxhash64(h)))
 
     def retained(h: Column) -> Column:
-        below = F.filter(h, lambda x: x < most)
-        return bound(below, lambda b: F.when(F.size(b) > 0, F.array_sort(F.array_distinct(b))).otherwise(F.array(F.array_min(h))))
+        return F.array_sort(F.array_distinct(F.filter(h, lambda x: x < most)))
 
     return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(bound(bound(hashed, shingled), retained))
 
