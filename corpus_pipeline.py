@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontam, langid, mixing, neardup, pii
-from quillgraph.llm.common import table
+from quillgraph.llm.common import shared_folder, table
 
 #: Below this score a language is not taken as known.
 LEAST_SURE = 0.5
@@ -28,32 +26,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least doc_id; of rows with one doc_id the first by text.
-
-    Rows without doc_id can't be named by a group and stay.
+    """One document of each group of near copies: that with the least doc_id, null last, then with the least hash of its
+    text; of rows that are equal in both, one. Documents without words stay, all of them.
     """
-    columns = docs.columns
-    groups = neardup.groups(docs, size=5)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*columns)
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return left.withColumn("_first", first).where(F.col("doc_id").isNull() | (F.col("_first") == 1)).select(*columns)
+    return neardup.one_of_each(docs, size=5)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have a benchmark passage."""
+    """Without the documents that have a benchmark passage. Null and empty texts have none, equal rows are judged alike,
+    and an empty benchmark takes nothing away.
+    """
     found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hits") == 0).select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows the new text."""
+    """All documents, with personal data replaced by its kind; n_chars follows the new text. Null texts stay null, equal
+    texts are redacted alike.
+    """
     return pii.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document."""
-    return mixing.mix(docs)
+    """All documents with all their columns, and how often the mix takes each: size, source_size, target, copies, taken.
+
+    Null and empty texts have size 0 and take no words; equal rows get copies one by one, so that they may differ; an
+    empty table stays empty. Columns of docs with these names are replaced.
+    """
+    return mixing.mix(docs, keep=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("private", private), ("mixed", mixed)]
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
