@@ -7,6 +7,7 @@ hashes that the other has estimates how much of it the other contains.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -58,9 +59,11 @@ def resemblance(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def with_next(docs: DataFrame, carried: list[str], per_step: int = PER_STEP) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], made: Mapping[str, Callable[[Column], Column]] | None = None, per_step: int = PER_STEP) -> DataFrame:
     """doc_id and carried columns, and next, a struct of the carried columns of the row after it; the last has the first.
 
+    made are more columns, functions of the first carried one; they are made once for each row and head of a step.
+
     Rows are ordered by doc_id (null first), then by the first carried column. Steps between quantiles of doc_id are
     sorted each on its own, so no task holds more than some steps; the end of one looks up the head of the next.
     """
@@ -75,7 +78,9 @@ def with_next(docs: DataFrame, carried: list[str], per_step: int = PER_STEP) ->
         halves = F.lit([steps >> k for k in range(1, steps.bit_length())])
         step = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(bounds, at + half - 1) < F.col("doc_id"), at + half).otherwise(at))
     order = [F.col("doc_id").asc_nulls_first(), F.col(carried[0]).asc_nulls_first()]
-    rows = docs.select("doc_id", *carried, F.coalesce(step, F.lit(0)).alias("step"))
+    more = {k: f(F.col(carried[0])) for k, f in (made or {}).items()}
+    every = [*carried, *more]
+    rows = docs.select("doc_id", *carried, *[v.alias(k) for k, v in more.items()], F.coalesce(step, F.lit(0)).alias("step"))
     # at most STEPS ids, so this is small enough to send to every task
     heads = docs.select("doc_id", F.coalesce(step, F.lit(0)).alias("step")).groupBy("step").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("no_id"))
     heads = heads.select("step", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"))
@@ -83,8 +88,9 @@ def with_next(docs: DataFrame, carried: list[str], per_step: int = PER_STEP) ->
     after = heads.select("doc_id", F.coalesce(F.lag("step").over(ring), F.max("step").over(W.partitionBy())).alias("step"))
     head = F.struct(*carried)
     heads = docs.join(F.broadcast(settle(after)).alias("h"), docs["doc_id"].eqNullSafe(F.col("h.doc_id"))).groupBy("h.step").agg(F.min_by(head, F.struct(F.col(carried[0]).isNotNull(), F.col(carried[0]))).alias("head"))
-    rows = rows.withColumn("next", F.lead(F.struct(*carried)).over(W.partitionBy("step").orderBy(*order)))
-    return rows.join(heads, "step", "left").select("doc_id", *carried, F.coalesce("next", "head").alias("next"))
+    heads = settle(heads).select("step", "head.*").select("step", F.struct(*carried, *[v.alias(k) for k, v in more.items()]).alias("head"))
+    rows = rows.withColumn("next", F.lead(F.struct(*every)).over(W.partitionBy("step").orderBy(*order)))
+    return rows.join(heads, "step", "left").select("doc_id", *every, F.coalesce("next", "head").alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -95,7 +101,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     digits for each retained hash, in the hashes' order, and empty for texts without words.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("own", sketch(F.col("text"))), ["text", "own"])
+    rows = with_next(rows, ["text"], {"own": lambda text: sketch(text)})
     n = F.length("text")
     cut = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - cut), F.substr(F.col("next.text"), F.lit(1), cut))

@@ -21,6 +21,8 @@ from quillgraph.llm.common import n_words, sent_if_small, settle, table, unit
 PER_STEP = 1024
 #: How many documents past the cut may close the gap that is left before it.
 CLOSING = 64
+#: The most row numbers that are sent to every executor, 16 bytes each.
+PICKS = 200_000
 
 
 def targets(sizes: DataFrame, ratio: float, most: float, weights: Sequence[float]) -> DataFrame:
@@ -45,14 +47,18 @@ def targets(sizes: DataFrame, ratio: float, most: float, weights: Sequence[float
     return s.select("skey", "n", "source_size", F.when(F.col("share").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("share") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, weights: Sequence[float] = (3, 1, 2), seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: a row for each row of docs.
+def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, weights: Sequence[float] = (3, 1, 2), seed: str = "mix", keep: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: a row for each row of docs. With keep, all columns of
+    docs come first, but for those of the new names; without, other columns are not looked at.
 
-    Null texts and texts without words have size 0 and take no words. Sources are dealt weights by code point, null
-    last. Equal rows count one by one. An empty table gives an empty result; other columns are not looked at.
+    Null texts and texts without words have size 0 and take no words; texts are counted whole, however long. Sources are
+    dealt weights by code point, null last. Equal rows count one by one, so one may get a copy more than the other; rows
+    of one doc_id and size share their random number and are ordered by where they were read. An empty table gives an
+    empty result.
     """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     sized = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"),
+        *row, "doc_id", "source", n_words(F.col("text")).alias("size"),
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))).alias("skey"),
     )
     sized = settle(sized.withColumns({"u": unit(F.lit(seed), "doc_id", "size"), "rid": F.monotonically_increasing_id()}))
@@ -65,7 +71,7 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, weights: Sequenc
     aims = sent_if_small(settle(aims))
 
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    d = sized.join(aims, "skey").where(F.col("p") > 0).select("skey", "rid", "doc_id", "size", "rest", odds.alias("q"), F.floor(F.col("u") * F.col("steps")).alias("step"))
+    d = sized.drop("row").join(aims, "skey").where(F.col("p") > 0).select("skey", "rid", "doc_id", "size", "rest", odds.alias("q"), F.floor(F.col("u") * F.col("steps")).alias("step"))
     # a source's p is one number, so steps of u are steps of the Pareto order
     cells = d.groupBy("skey", "step", "rest").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("m"))
     run = W.partitionBy("skey").orderBy("step")
@@ -80,13 +86,16 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, weights: Sequenc
     zone = zone.groupBy("skey", "gap").agg(F.array_sort(F.collect_list(F.struct("q", "doc_id", "rid", "size"))).alias("docs"))
     picked = F.expr("""aggregate(docs, named_struct('left', gap, 'picks', cast(array() as array<bigint>)),
         (a, x) -> if(x.size <= a.left, named_struct('left', a.left - x.size, 'picks', array_append(a.picks, x.rid)), a), a -> a.picks)""")
-    picks = zone.select(F.explode(picked).alias("rid")).withColumn("more", F.lit(1))
+    # a number for each document near the cut; while these are few the rows, whole texts with keep, stay where they are
+    picks = sent_if_small(settle(zone.select(F.explode(picked).alias("rid")).withColumn("more", F.lit(1))), PICKS)
 
     out = sized.join(aims.select("skey", "source_size", "target", "whole", "p", "steps"), "skey").join(cut.select("skey", F.col("step").alias("cut"), F.lit(1).alias("is_cut")), "skey", "left")
     out = out.join(picks, "rid", "left")
     before = F.when(F.col("p") <= 0, 0).when(F.col("is_cut").isNull(), 1).when(F.floor(F.col("u") * F.col("steps")) < F.col("cut"), 1).otherwise(F.coalesce("more", F.lit(0)))
     copies = (F.col("whole") + before).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    new = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": F.col("size") * copies}
+    first = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new] if keep else [F.col("doc_id"), F.col("source")]
+    return out.select(*first, *[v.alias(k) for k, v in new.items()])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,9 @@ def summed(lengths: Column) -> Column:
     return F.aggregate(lengths, F.array().cast("array<int>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))
 
 
-def one_at(x: Column, i: Column, blocks: Column, begins: Column) -> Column:
+def one_at(x: Column, i: Column, blocks: Column, ends: Column) -> Column:
     k = F.floor(i / SUMS).cast("int")
-    end = F.get(F.get(blocks, k), i % SUMS) + F.when(k > 0, F.get(begins, k - 1)).otherwise(F.lit(0))
+    end = F.get(F.get(blocks, k), i % SUMS) + F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0))
     return F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("hit"))
 
 
@@ -36,14 +36,15 @@ def spans(text: Column, pattern: str) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
     def placed(pairs: Column) -> Column:
-        """Ends are running sums of lengths, made in one fold over blocks of SUMS matches, so that no long array is copied for every match."""
+        """Ends are running sums of lengths, made block by block, so that no long array is copied for every match."""
         lengths = F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["hit"]))
-        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(pairs) - 1) / SUMS)).cast("int")), lambda k: summed(F.slice(lengths, k * SUMS + 1, F.lit(SUMS))))
+        firsts = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / SUMS).cast("int"))
+        blocks = bound(lengths, lambda n: F.transform(firsts, lambda k: summed(F.slice(n, k * SUMS + 1, F.lit(SUMS)))))
 
         def within(blocks: Column) -> Column:
-            # where each block begins
-            begins = summed(F.transform(blocks, lambda b: F.coalesce(F.try_element_at(b, F.lit(-1)), F.lit(0))))
-            return bound(begins, lambda at: F.transform(pairs, lambda x, i: one_at(x, i, blocks, at)))
+            # where each block ends
+            ends = summed(F.transform(blocks, lambda b: F.element_at(b, -1)))
+            return bound(ends, lambda at: F.transform(pairs, lambda x, i: one_at(x, i, blocks, at)))
 
         return bound(blocks, within)
 

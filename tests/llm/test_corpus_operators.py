@@ -174,6 +174,40 @@ def test_near_duplicates_equal_all_pairs(spark, seed, size):
     assert sorted(map(tuple, neardup.groups(docs, size=size).collect())) == near_groups(rows, size)
 
 
+def test_near_duplicates_without_ids_and_with_one_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "other"])
+    rows = [(5, " ".join(words)), (None, near), (None, "x y z"), (None, "x y z"), (7, "p q r"), (7, "s t u")]
+    got = sorted(map(str, (tuple(r) for r in neardup.groups(spark.createDataFrame(rows, DOC)).collect())))
+    assert got == sorted(map(str, [(5, 59, 5, True), (None, 59, 5, False), (None, 2, None, True), (None, 2, None, True), (7, 2, 7, True), (7, 2, 7, True)]))
+    left = neardup.one_of_each(spark.createDataFrame([*rows, (7, "p q r")], DOC).withColumn("n", F.lit("clash")), size=2)
+    assert left.columns == ["doc_id", "text", "n"]
+    assert sorted(map(str, (tuple(r)[:2] for r in left.collect()))) == sorted(map(str, [(5, " ".join(words)), (None, "x y z"), (7, "p q r"), (7, "s t u")]))
+
+
+def test_pairs_of_a_group_grow_with_its_size_alone(spark, monkeypatch):
+    """2,500 copies of one text, each with two words of 60 replaced: all in one component, by some pairs each."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(2_500):
+        c = list(base)
+        for _ in range(2):
+            c[r.randrange(60)] = f"u{r.randrange(10**6)}"
+        rows.append((i, " ".join(c)))
+    looked_at = []
+    plain = neardup.Linker.may_link
+    monkeypatch.setattr(neardup.Linker, "may_link", lambda self, pairs: looked_at.append(pairs.count()) or plain(self, pairs))
+    got = neardup.groups(spark.createDataFrame(rows, DOC)).collect()
+    assert sum(looked_at) < 20 * len(rows)
+    sample = {x.doc_id: x.component_id for x in got}
+    sets = [{tuple(t.split()[i : i + 2]) for i in range(59)} for _, t in rows[:200]]
+    for i in range(200):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                assert sample[i] == sample[j]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.groups(spark.createDataFrame([], DOC)).count() == 0
     assert [tuple(r) for r in neardup.groups(spark.createDataFrame([(7, None)], DOC)).collect()] == [(7, 0, 7, True)]
@@ -290,8 +324,10 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path, sf):
     assert ids["benchmark_free"] == ids["private"] == ids["mixed"] == {*range(40), 103}
     texts = {x.doc_id: x.text for x in steps["private"].collect()}
     assert texts[103].startswith("write to <EMAIL> ") and all(texts[i] == clean[i][1] for i in range(40))
-    assert all(d.columns == ["doc_id", "text", "lang", "source", "n_chars"] for n, d in steps.items() if n != "mixed")
+    assert all(d.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] for d in steps.values())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, steps["language"].limit(0), sf).count() == 0, name
 
 
 def test_run_mixes_what_the_stages_keep(spark, sf):
-    assert set(corpus_pipeline.run(spark, sf).columns) >= {"doc_id", "size", "copies", "taken"}
+    assert set(corpus_pipeline.run(spark, sf).columns) >= {"doc_id", "text", "lang", "source", "size", "copies", "taken"}

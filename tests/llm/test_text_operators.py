@@ -174,3 +174,22 @@ def test_sketch_estimates_containment(spark):
     rows = spark.createDataFrame([(" ".join(long), " ".join(part))], "a string, b string").select(fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b"))
     x = rows.select(fingerprint.contained(F.col("b"), F.col("a")).alias("b_in_a"), fingerprint.contained(F.col("a"), F.col("b")).alias("a_in_b")).first()
     assert x.b_in_a > 0.98 and x.a_in_b == pytest.approx(0.5, abs=0.08)
+
+
+@pytest.mark.parametrize("unit", ["ab.", "a@", "1-", "a_", "1.", "+1", "token=abcdef ", "A1b2"])
+def test_long_runs_are_scanned(spark, unit):
+    """Runs of a megabyte end; shorter ones, which plain search can take, equal it."""
+    never = [(boost.Boosted(pii.FEATURES, -1.0), float("inf"))] * 4
+    texts = [unit * (n // len(unit)) for n in (3_000, 1_000_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    secrets, private = ({r.doc_id: r.base_sha256 for r in found.collect()} for found in (secretscan.scan(docs), pii.report(pii.detect(docs, never))))
+    assert secrets[0] == sha(secrets_of(texts[0]), secretscan.KINDS) and private[0] == sha(private_of(texts[0]), pii.KINDS)
+    assert set(secrets) == set(private) == {0, 1}
+
+
+def test_sketches_of_parts_add_up(spark):
+    r = random.Random(6)
+    a, b = ([f"w{r.randrange(50)}" for _ in range(n)] for n in (7, 200))
+    rows = spark.createDataFrame([(" ".join(a), " ".join(b), " ".join(a + b))], "a string, b string, ab string").select(*[fingerprint.sketch(F.col(c)).alias(c) for c in ("a", "b", "ab")])
+    x = rows.first()
+    assert set(x.a) | set(x.b) <= set(x.ab) and len(x.ab) <= len(set(x.a) | set(x.b)) + 4
