@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -30,14 +32,19 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for what is written between steps, spark.checkpoint.dir; an error if none is set: what one executor
-    writes to a folder of its own no other sees."""
+    """The folder for what is written between steps, spark.checkpoint.dir. Where none is set, one of this machine's own if
+    all of Spark runs in this process, as in tests, and else an error: what one executor writes to its own disk no other sees.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = given.get() if given.isDefined() else ""
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
 
 
