@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from quillgraph.operators import knowledge as kn
 from quillgraph.operators import ingest, queues, search
 from quillgraph.operators.predicates import live, readable, subtree
 from quillgraph.plans import oracle as o
+from quillgraph.plans.settle import shared_folder
 from quillgraph.sources import tables as t
 from quillgraph.streaming import log
 
@@ -491,7 +491,7 @@ def mention_inbox(s, d):
 
 @query("SELECT 'src' || (user_id % 20) AS ws, count(*) AS changed FROM events GROUP BY ALL")
 def stream_churn(s, d):
-    out = f"{s.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='churn-')}/churn-{uuid.uuid4().hex}"
+    out = f"{shared_folder(s)}/churn-{uuid.uuid4().hex}"
     events = log.read(s, f"{d}/event[s].parquet", t.table(s, d, "events").schema)
     log.churn(events.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("ws")), f"{out}/batches", f"{out}/state")
     return log.churn_total(s, f"{out}/batches")

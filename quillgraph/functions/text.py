@@ -19,7 +19,9 @@ def words(text: Column) -> Column:
 
 
 def opening(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(words(text), 1, n), " ")
+    """The first n words, joined by blanks; what comes after them is not read."""
+    first = F.regexp_extract(text, rf"^[\x20\x09-\x0D]*({WORD}(?:[\x20\x09-\x0D]+{WORD}){{0,{n - 1}}})", 1)
+    return F.regexp_replace(first, r"[\x20\x09-\x0D]+", " ")
 
 
 def collapsed(name: Column) -> Column:
@@ -56,9 +58,14 @@ def similarity(a: Column, b: Column) -> Column:
 
 def quick_rank(title: Column, q: str) -> Column:
     """1 for the title itself, 0.9 for a beginning, else 0.8 of the similarity; null if the title is no candidate."""
-    low, near = F.lower(title), similarity(title, F.lit(q))
-    rank = F.when(low == q.lower(), F.lit(1.0)).when(low.startswith(q.lower()), F.lit(0.9)).otherwise(near * 0.8)
-    return F.when(F.contains(low, F.lit(q.lower())) | (near >= 0.3), rank)
+    q = q.lower()
+
+    def ranked(low: Column) -> Column:
+        near = F.get(F.transform(F.array(similarity(low, F.lit(q))), lambda x: F.when((x >= 0.3) | F.contains(low, F.lit(q)), x * 0.8)), F.lit(0))
+        return F.when(low == q, F.lit(1.0)).when(low.startswith(q), F.lit(0.9)).otherwise(near)
+
+    # the title is made once, however often the rank reads it
+    return F.get(F.transform(F.array(F.lower(title)), ranked), F.lit(0))
 
 
 def estimated_tokens(text: Column) -> Column:

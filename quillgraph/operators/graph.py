@@ -16,10 +16,10 @@ RRF, DECAY = 60, 0.5
 
 def extracted(pages: DataFrame) -> DataFrame:
     """ws, hash, names: the capitalised words of each chunk in order, without punctuation at their ends."""
-    chunks = pages.select("ws", "hash", "text").distinct()
     capital = F.filter(words(F.col("text")), lambda w: w.rlike(r"^\p{Lu}"))
     names = F.filter(F.transform(capital, lambda w: F.regexp_replace(w, ALNUM_EDGES, "")), lambda w: w != "")
-    return chunks.select("ws", "hash", names.alias("names"))
+    # the hash fixes the text, so names are made where the texts are, and texts are not shuffled
+    return pages.select("ws", "hash", names.alias("names")).distinct()
 
 
 def entities(pages: DataFrame) -> DataFrame:

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where none is set, one of this machine's own if all of Spark runs in
+    this process, as in tests, and else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else ""
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return folder
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the session's checkpoint folder; a folder of its own only where none is named."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """df, computed once and read from the session's shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
