@@ -331,3 +331,26 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path, sf):
 
 def test_run_mixes_what_the_stages_keep(spark, sf):
     assert set(corpus_pipeline.run(spark, sf).columns) >= {"doc_id", "text", "lang", "source", "size", "copies", "taken"}
+
+
+def test_texts_searched_together_are_found_as_alone_and_the_space_is_that_of_the_svd(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").limit(12)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    index = decontam.build(docs, bench)
+    items = [" ".join(r.text.split()[:60]) for r in bench.collect()]
+    texts = [None, "", "one two", *[r.text for r in docs.orderBy("doc_id").limit(40).collect()], *items, "lead in " * 30 + items[0] + " way out" * 30]
+    together = list(index.search_all(texts))
+    assert together == [index.search(t) for t in texts] and sum(map(bool, together)) > 5
+
+    words = {w: i + 1 for i, w in enumerate(sorted({w for t in items for w in decontam.tokens(t)}))}
+    idf, rank = np.ones(len(words) + 1), 3
+    rows = np.zeros((len(items), len(idf)))
+    for row, t in zip(rows, items, strict=True):
+        for at, x in decontam.rows_of([t], words, idf):
+            np.add.at(row, at, x)
+    # three directions that stand out, so that one pass finds them
+    weights = [30.0, 20.0, 10.0] + [0.01] * (len(items) - 3)
+    matrix = spark.createDataFrame(list(zip(items, weights, strict=True)), "text string, weight double")
+    got = decontam.basis(spark, matrix, words, idf, rank)
+    want = np.linalg.svd(rows * np.array(weights)[:, None])[2][:rank]
+    assert np.abs(np.sum(got.T * want, axis=1)) == pytest.approx(np.ones(rank), abs=1e-3)
