@@ -1,8 +1,10 @@
 """Personal data: base patterns, and looser candidates that boosted trees judge by format and context.
 
-Generators propose overlapping spans. Those that the base patterns and their checks confirm are the positive labels,
-all others the negative ones; the trees are fitted on SAMPLE candidates at most, those with the smallest hash, and
-each kind's threshold is the lowest score at which PRECISION of the sample's candidates at or above it are positive.
+Generators propose overlapping spans. The trees learn what personal data looks like in forms that the base patterns
+miss: each base span of a bounded sample of documents is rewritten in such a form (DISGUISES) within its own context, and
+candidates that are just that span are the positive labels. Negative ones are candidates of the texts as they stand that
+meet no base span, candidates of another kind in the rewritten ones, and the sign of an address alone between words. Half of the documents fit the trees, the
+other half the thresholds: the lowest score at which PRECISION of its candidates at or above it are positive.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # What is proposed besides, by kind; these may overlap, and base spans may overlap them.
 LOOSE = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)*+",
-    r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,}+",
-    r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){9,}+",
+    r"(?<![0-9.])[0-9]++(?:(?:\.|\x20?[(\[](?:\.|dot)[)\]]\x20?)[0-9]++){2,}+",
+    r"(?<![0-9])[0-9](?:[\x20.-]{0,2}[0-9]){9,}+",
     r"(?<![0-9+])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
 )
-HINTS = (r"@|[(\[]at[)\]]", r"[0-9]\.[0-9]+\.[0-9]", r"[0-9](?:[\x20.-]?[0-9]){9}", r"[0-9](?:[\x20().-]{0,2}[0-9]){6}")
+HINTS = (r"@|[(\[]at[)\]]", r"[0-9](?:\.|\x20?[(\[](?:\.|dot)[)\]])\x20?[0-9]", r"[0-9](?:[\x20.-]{0,2}[0-9]){9}", r"[0-9](?:[\x20().-]{0,2}[0-9]){6}")
+#: What stands for the sign of an address in some of them.
+SIGNS = ("@", "(at)", "[at]")
 CONTEXT = 24
-SAMPLE = 20_000
+#: Candidates a kind and documents that the trees are fitted on.
+SAMPLE, DOCS = 20_000, 20_000
 PRECISION = 0.995
 FEATURES = ("length", "digits", "digit_share", "parts", "longest_part", "part_most", "checksum", "plus", "brackets", "dashes", "dots", "at", "letter_before", "letter_after", "digit_near", "cue")
 CUES = (r"(?i)mail|contact|schreib|courriel|correo", r"(?i)\b(?:ip|host|server|addr)", r"(?i)card|visa|karte|carte|tarjeta|credit", r"(?i)tel|phone|call|fax|mobil|\bnum")
@@ -89,21 +94,65 @@ def proposed(text: Column, kind: int) -> Column:
     return F.transform(found, described)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> list[tuple[boost.Boosted, float]]:
-    """By kind, the trees and the least score of a redaction; infinite with no confirmed candidate. Reads all of docs."""
+def disguised(kind: int, hit: Column) -> list[Column]:
+    """DISGUISES: forms in which people write the same datum and which no base pattern matches."""
+    number = digits(hit)
+    if kind == 0:
+        user, host = F.substring_index(hit, "@", 1), F.substring_index(hit, "@", -1)
+        return [F.concat(user, F.lit(" (at) "), F.replace(host, F.lit("."), F.lit(" (dot) "))), F.concat(user, F.lit("[at]"), F.replace(host, F.lit("."), F.lit("[dot]"))), F.concat(user, F.lit(" @ "), host)]
+    if kind == 1:
+        return [F.replace(hit, F.lit("."), F.lit(dot)) for dot in ("[.]", "[dot]", " (dot) ")]
+    if kind == 2:
+        return [F.regexp_replace(number, "(.{4})(?=.)", f"$1{gap}") for gap in (".", ". ", "- ")]
+    last = F.substr(number, F.greatest(F.length(number) - 9, F.lit(1)))
+    return [F.substr(hit, F.lit(2)), F.regexp_replace(last, "^(.{3})(.{3})", "$1-$2-"), F.regexp_replace(last, "^(.{3})(.{3})", "($1) $2 ")]
+
+
+def examples(docs: DataFrame, number: int = DOCS) -> DataFrame:
+    """kind, h (hash of the document), y (1 or 0) and FEATURES of each labelled candidate of about number documents, by hash."""
+    h = F.xxhash64("doc_id", "text")
+    share = min(1.0, number / max(1, docs.count()))
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(*[labelled(b, k) for k, b in enumerate(found_base(text))])
-    tag = lambda k: F.transform(proposed(text, k), lambda s: F.struct(F.lit(k).alias("kind"), s.alias("s")))
-    c = docs.select("doc_id", base.alias("base"), F.explode(F.concat(*[tag(k) for k in range(len(KINDS))])).alias("c"))
-    hit = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.s.start")) & (b["end"] == F.col("c.s.end")))
-    c = settle(c.select("c.kind", F.xxhash64("doc_id", "c.s.start").alias("h"), hit.cast("double").alias("y"), *[F.col(f"c.s.{f}").alias(f) for f in FEATURES]))
+    drawn = docs.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(h.alias("h"), text.alias("text"))
+    base = F.concat(*[F.transform(b, partial(lambda k, s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit")), k)) for k, b in enumerate(found_base(F.col("text")))])
+    drawn = drawn.withColumn("base", base)
+    tag = lambda k: F.transform(proposed(F.col("text"), k), lambda s: F.struct(F.lit(k).alias("kind"), s.alias("s")))
+    every = F.concat(*[tag(k) for k in range(len(KINDS))])
+    meets = F.exists("base", lambda b: (b["start"] < F.col("c.s.end")) & (F.col("c.s.start") < b["end"]))
+    features = [F.col(f"c.s.{f}").alias(f) for f in FEATURES]
+    plain = drawn.select("h", "base", F.explode(every).alias("c")).where(~meets).select("c.kind", "h", F.lit(0.0).alias("y"), *features)
+
+    spans_ = drawn.select("h", "text", F.explode("base").alias("b"))
+    before = F.substr("text", F.greatest(F.col("b.start") - CONTEXT + 1, F.lit(1)), F.least(F.col("b.start"), F.lit(CONTEXT)))
+    after = F.substr("text", F.col("b.end") + 1, F.lit(CONTEXT))
+    pick = F.pmod(F.xxhash64("h", "b.start"), F.lit(3)).cast("int")
+    form = F.lit("")
+    for k in range(len(KINDS)):
+        form = F.when(F.col("b.kind") == k, F.get(F.array(*disguised(k, F.col("b.hit"))), pick)).otherwise(form)
+    spans_ = spans_.select("h", F.col("b.kind").alias("true"), before.alias("before"), form.alias("form"), after.alias("after"), F.get(F.array(*map(F.lit, SIGNS)), pick).alias("sign"))
+    # once with the datum and, where it is an address, once with no more than its sign between its neighbours
+    put = F.explode(F.when(F.col("true") == 0, F.array(F.col("form"), F.col("sign"))).otherwise(F.array(F.col("form")))).alias("put")
+    spans_ = spans_.select("h", "true", F.length("before").alias("first"), "before", "after", put)
+    spans_ = spans_.select("h", "true", (~F.col("put").isin(*SIGNS)).alias("whole"), "first", (F.col("first") + F.length("put")).alias("last"), F.concat("before", "put", "after").alias("text"))
+    near = (F.col("c.s.start") < F.col("last")) & (F.col("first") < F.col("c.s.end"))
+    same = F.col("whole") & (F.col("c.s.start") == F.col("first")) & (F.col("c.s.end") == F.col("last")) & (F.col("c.kind") == F.col("true"))
+    other = near & (~F.col("whole") | (F.col("c.kind") != F.col("true")))
+    hidden = spans_.select("h", "true", "whole", "first", "last", F.explode(every).alias("c")).where(same | other).select("c.kind", "h", same.cast("double").alias("y"), *features)
+    return plain.unionByName(hidden)
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, number: int = DOCS) -> list[tuple[boost.Boosted, float]]:
+    """By kind, the trees and the least score of a redaction; infinite without positive candidates in either half."""
+    c = settle(examples(docs, number))
     models = []
     for k in range(len(KINDS)):
-        rows = c.where(F.col("kind") == k).orderBy("h", *FEATURES).limit(sample).collect()
+        order = F.xxhash64("h", *FEATURES)
+        rows = c.where(F.col("kind") == k).orderBy(order, "y", *FEATURES).limit(sample).collect()
         data = np.array([tuple(r)[2:] for r in rows], dtype=float).reshape(-1, len(FEATURES) + 1)
+        held = np.array([r["h"] % 2 for r in rows], dtype=bool)
         x, y = data[:, 1:], data[:, 0]
-        model = boost.fit(FEATURES, x, y, trees=12)
-        models.append((model, boost.threshold_for(model.margin(x), y, precision) if y.sum() else float("inf")))
+        model = boost.fit(FEATURES, x[~held], y[~held], trees=12)
+        models.append((model, boost.threshold_for(model.margin(x[held]), y[held], precision) if y[held].any() and model.trees else float("inf")))
     return models
 
 
@@ -125,7 +174,12 @@ def detect(docs: DataFrame, models: list[tuple[boost.Boosted, float]] | None = N
         added.append(F.transform(F.filter(F.filter(f"loose{k}", free), sure), partial(lambda k, s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")), k)))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     more = F.array_sort(F.concat(none, *added))
-    apart = F.aggregate(more, none, lambda a, s: F.when(F.exists(a, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), a).otherwise(F.array_append(a, s)))
+    # sorted by their starts, so only the last one taken can meet the next
+    taken = F.aggregate(
+        more, F.struct(F.lit(0).alias("end"), none.alias("spans")),
+        lambda a, s: F.when(s["start"] < a["end"], a).otherwise(F.struct(s["end"].alias("end"), F.array_append(a["spans"], s).alias("spans"))),
+    )
+    apart = taken["spans"]
     return rows.select("row", "base", F.array_sort(F.concat(F.col("base"), apart)).alias("spans"))
 
 

@@ -99,6 +99,32 @@ def test_redaction_keeps_all_else_and_columns(spark):
     assert {r.doc_id: (r.text, r.base, r.n_chars) for r in got.collect()} == {1: ("mail <EMAIL> now", "base", 16), 2: (None, "spans", 0), 3: ("clean 12 text", "row", 13)}
 
 
+def corpus_with_private_data(n):
+    """Texts of made-up words, a base span of each kind in every fifth, and numbers that are none in others."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdeilnorstu") for _ in range(r.randrange(2, 9)))
+    words = lambda k: " ".join(word() for _ in range(k))
+
+    def card():
+        head = "".join(r.choice("0123456789") for _ in range(15))
+        return next(head + c for c in "0123456789" if luhn(head + c))
+
+    datum = [lambda: f"{word()}.{r.randrange(99)}@{word()}.example.com", lambda: ".".join(str(r.randrange(1, 250)) for _ in range(4)), card, lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"]
+    odd = [lambda: f"{r.randrange(300, 999)}.{r.randrange(9)}.{r.randrange(9)}", lambda: "".join(r.choice("0123456789") for _ in range(r.randrange(20, 30))), lambda: f"{r.randrange(1000, 9999)} {r.randrange(1000, 9999)}"]
+    return [f"{words(9)} {(datum[i % 4] if i % 5 else odd[i % 3])()} {words(9)}" for i in range(n)]
+
+
+def test_trees_add_what_the_base_patterns_miss(spark):
+    models = pii.fit(spark.createDataFrame(list(enumerate(corpus_with_private_data(1500))), DOC))
+    assert all(m.trees and least != float("inf") for m, least in models)
+    hidden = ["joan.7 (at) mail3 (dot) example (dot) com", "10[.]20[.]30[.]40", "4111.1111.1111.1111", "(743) 555-3824"]
+    texts = [f"nor sel dua {x} in to line" for x in hidden] + ["dine @ noon tin", "see 3.1.4 on that", "run 1 2 3 4", "12345678901234567890123456"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = {r.doc_id: (r.n_email + r.n_ip + r.n_card + r.n_phone, r.spans) for r in pii.report(pii.detect(docs, models)).collect()}
+    want = {i: (0, f"{pii.KINDS[i]}:12:{12 + len(x)}") for i, x in enumerate(hidden)} | {i: (0, "") for i in range(4, 8)}
+    assert got == want
+
+
 @pytest.mark.parametrize("operator", [secretscan.scan, lambda d: pii.report(pii.detect(d)), fingerprint.fingerprints])
 def test_empty_tables_give_empty_results(spark, operator):
     assert operator(spark.createDataFrame([], DOC)).count() == 0
