@@ -422,6 +422,36 @@ def log_load(s, d):
     return _log(s, d)
 
 
+@query(f"WITH {LOG} SELECT page_id, count(*) AS n FROM lg GROUP BY page_id")
+def log_count(s, d):
+    return log.counts(_log(s, d))
+
+
+@query("SELECT count(*) AS edges FROM (SELECT p_name, unnest(string_split(p_type, ' ')) FROM part UNION ALL SELECT p_name, p_brand FROM part) SEMI JOIN (SELECT p_name FROM part WHERE p_size <= 3) USING (p_name)")
+def property_edge_count(s, d):
+    return co.property_edge_count(property_edges(s, d), t.table(s, d, "part").where(F.col("p_size") <= 3).select(F.col("p_name").alias("title")))
+
+
+@query(f"WITH {o.PAGES} SELECT page_id, ws, parent_id, hash, updated_at FROM pg WHERE page_id = 5 AND NOT archived")
+def page_get(s, d):
+    return search.page(t.pages(s, d), 5).select("page_id", "ws", "parent_id", "hash", "updated_at")
+
+
+@query(f"WITH {o.PAGES} SELECT updated_at, page_id FROM pg WHERE NOT archived ORDER BY updated_at, page_id")
+def page_ids(s, d):
+    return search.page_ids(t.pages(s, d))
+
+
+@query(f"WITH {o.PAGES} SELECT ws, min(updated_at) AS oldest FROM pg GROUP BY ws ORDER BY oldest, ws")
+def workspaces_by_age(s, d):
+    return search.workspaces_by_age(t.pages(s, d))
+
+
+@query("SELECT doc_id AS page_id, format('{:,}', n_chars) AS shown FROM documents")
+def format_count(s, d):
+    return t.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), tx.format_count(F.col("n_chars")).alias("shown"))
+
+
 @query(f"WITH {LOG}, n AS (SELECT page_id, count(*) AS n, arg_max(\"update\", seq) AS last FROM lg GROUP BY page_id) SELECT lg.* FROM lg SEMI JOIN (SELECT page_id FROM n WHERE n <= 65) USING (page_id) UNION ALL SELECT page_id, 0, last FROM n WHERE n > 65")
 def log_compaction(s, d):
     return log.compacted(_log(s, d), 65)

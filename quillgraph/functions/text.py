@@ -122,3 +122,8 @@ def block_hash(kind: Column, text: Column) -> Column:
 def member_set_hash(members: Column) -> Column:
     """Of a collected set of ids, as strings in order, each ended by a unit separator."""
     return F.sha2(F.concat(F.array_join(F.array_sort(members.cast("array<string>")), "\x1f"), F.lit("\x1f")), 256)
+
+
+def format_count(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)

@@ -122,3 +122,8 @@ def validated(kind: str, value: str) -> bool:
             return False
         return True
     return isinstance(v, str)
+
+
+def property_edge_count(edges: DataFrame, live_titles: DataFrame) -> DataFrame:
+    """How many property edges leave live pages; live_titles has their column title."""
+    return edges.join(live_titles.select(F.col("title").alias("source")), "source", "left_semi").agg(F.count(F.lit(1)).alias("edges"))

@@ -75,3 +75,18 @@ def recent(pages: DataFrame, ws: str, limit: int = 10) -> DataFrame:
 
 def children(pages: DataFrame, parent: int | None) -> DataFrame:
     return live(pages).where(F.col("parent_id").eqNullSafe(F.lit(parent))).select("page_id", "parent_id", "title").orderBy("page_id")
+
+
+def page(pages: DataFrame, page_id: int) -> DataFrame:
+    """The page, if it is live; no row else."""
+    return live(pages).where(F.col("page_id") == page_id)
+
+
+def page_ids(pages: DataFrame) -> DataFrame:
+    """Live pages from the oldest on."""
+    return live(pages).select("updated_at", "page_id").orderBy("updated_at", "page_id")
+
+
+def workspaces_by_age(pages: DataFrame) -> DataFrame:
+    """Workspaces with the time of their oldest page, which they are ordered by."""
+    return pages.groupBy("ws").agg(F.min("updated_at").alias("oldest")).orderBy("oldest", "ws")

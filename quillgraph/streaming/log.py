@@ -20,6 +20,10 @@ def compacted(log: DataFrame, most: int = 100) -> DataFrame:
     return small.unionByName(n.where(F.col("n") > most).select("page_id", F.lit(0).alias("seq"), F.col("last").alias("update")))
 
 
+def counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read(spark: SparkSession, folder: str, schema: T.StructType, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
