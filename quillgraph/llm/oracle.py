@@ -38,5 +38,25 @@ reach AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT reach.v, y FROM re
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, r AS component_id, r = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN root ON v = d.doc_id"""
 
 
+OP11 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS g, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || g[1:8])::BIGINT AS h1, ('0x' || g[9:16])::BIGINT AS h2, ('0x' || g[17:24])::BIGINT AS h3, ('0x' || g[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+OP13 = rf"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+long AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS text FROM documents), run AS (SELECT doc_id, {LOWER} AS w FROM long), counted AS (SELECT doc_id, w, count(*) AS m FROM run GROUP BY ALL),
+bytes AS (SELECT w, m, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END)) AS b FROM counted),
+crc AS (SELECT w, m, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS h FROM bytes, tab),
+v AS (SELECT word, sum(m)::BIGINT AS n FROM (SELECT m, CASE WHEN h % 31 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word FROM crc) WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+del AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS k FROM v, range(1, length(word) + 1) r(i)),
+near AS (SELECT a.word, b.word AS x FROM del a JOIN del b USING (i, k) WHERE a.word <> b.word UNION SELECT word, k FROM del SEMI JOIN v ON k = v.word UNION SELECT k, del.word FROM del SEMI JOIN v ON k = v.word),
+best AS (SELECT near.word, x AS form, v.n AS form_n, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN v ON x = v.word QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, x) = 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+far AS (SELECT word, word AS root FROM f UNION ALL SELECT far.word, f.form FROM far JOIN f ON f.word = far.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, far.root, f.n, f.n_near, f.form_n FROM f JOIN far USING (word) JOIN f e ON e.word = far.root WHERE e.form IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op5_substring": OP5, "op10_neardup": OP10}
+    return {"op1_mixing": OP1, "op5_substring": OP5, "op10_neardup": OP10, "op11_fim": OP11, "op13_variants": OP13}
