@@ -138,13 +138,16 @@ def counted(docs: DataFrame, tokenizer: Tokenizer, cache: str, limit: int = LIMI
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     text = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(tokenizer.normalised(F.col("text")), 256))
-    wanted = settle(docs.select(digest.alias("digest")).distinct().join(stored(spark, folder), "digest", "left_anti"))
+    asked = settle(docs.select(digest.alias("digest")).distinct())
+    wanted = settle(asked.join(stored(spark, folder), "digest", "left_anti"))
     if not wanted.isEmpty():
         # dealt by digest once, and by name, so that no skew join parts the copies of a text
         texts = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(once, "digest binary, text string").repartition("digest")
         encoded(texts.join(wanted.hint("shuffle_hash"), "digest", "left_semi"), tokenizer).write.mode("append").parquet(folder)
+    # as a table of one row a digest, so that a skew join can part the rows of a hot one
+    counts = settle(asked.join(stored(spark, folder), "digest").select(F.col("digest").alias("__digest"), "n_tokens"))
     known = docs.withColumns({"n_bytes": F.octet_length(text).cast("long"), "__digest": digest})
-    out = known.join(stored(spark, folder).withColumnRenamed("digest", "__digest"), "__digest", "left").drop("__digest")
+    out = known.join(counts, "__digest", "left").drop("__digest")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
