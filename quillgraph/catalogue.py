@@ -533,3 +533,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from quillgraph import catalogue_live as _live  # noqa: E402, F401  (registers its queries, for which it needs the above)

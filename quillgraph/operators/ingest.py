@@ -66,16 +66,27 @@ def chunks_of(blocks: Iterable[str]) -> list[str]:
     return [*out, held] if held else out
 
 
-def chunked(pages: DataFrame) -> DataFrame:
-    """page_id, chunk_index, text, token_estimate, hash of the lines of each page's text."""
+def _chunked(parts: DataFrame) -> DataFrame:
+    """Of (page_id, parts), parts being the texts of a page's blocks in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, i, c, tokens_in(c), hashlib.sha256(c.encode()).hexdigest()) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, c in enumerate(chunks_of((t or "").split("\n")))]
+            rows = [(p, i, c, tokens_in(c), hashlib.sha256(c.encode()).hexdigest()) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, c in enumerate(chunks_of(t or []))]
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page_id", "chunk_index", "text", "token_estimate", "hash"])
 
-    return pages.select("page_id", "text").mapInArrow(run, "page_id long, chunk_index int, text string, token_estimate int, hash string")
+    return parts.select("page_id", "parts").mapInArrow(run, "page_id long, chunk_index int, text string, token_estimate int, hash string")
+
+
+def chunked(pages: DataFrame) -> DataFrame:
+    """page_id, chunk_index, text, token_estimate, hash of the lines of each page's text."""
+    return _chunked(pages.select("page_id", F.split("text", "\n").alias("parts")))
+
+
+def chunked_blocks(blocks: DataFrame) -> DataFrame:
+    """The same of blocks (page_id, block_index, text). A page's blocks are brought together."""
+    of_page = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block_index", F.coalesce("text", F.lit("")).alias("text")))).alias("blocks"))
+    return _chunked(of_page.select("page_id", F.transform("blocks", lambda x: x["text"]).alias("parts")))
 
 
 class Blocks(HTMLParser):
