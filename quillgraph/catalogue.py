@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions import fts
 from quillgraph.functions import text as tx
 from quillgraph.operators import accounts as ac
 from quillgraph.operators import collections as co
@@ -16,6 +15,7 @@ from quillgraph.operators import communities as cm
 from quillgraph.operators import graph as gr
 from quillgraph.operators import knowledge as kn
 from quillgraph.operators import ingest, queues, search
+from quillgraph.operators import lexical as lx
 from quillgraph.operators.predicates import live, readable, subtree
 from quillgraph.plans import oracle as o
 from quillgraph.plans.settle import shared_folder
@@ -171,9 +171,7 @@ def member_set_hash(s, d):
 @query(f"WITH {o.CLUSTERABLE}, {LABELLED}, {HASHES} SELECT ws, community, member_hash, n_members, CASE WHEN community = 1 AND n_members >= 20 THEN 'lazy' ELSE 'eager' END AS urgency FROM h WHERE community <> 2")
 def pending_summaries(s, d):
     c = cm.member_hashes(_by_length(s, d))
-    kept = c.where(F.col("community") == 2).select("ws", "community", "member_hash", F.lit("stub").alias("model"))
-    stale = c.where(F.col("community") == 1).select("ws", "community", F.lit("old").alias("member_hash"), F.lit("stub").alias("model"))
-    return cm.pending_summaries(c, kept.unionByName(stale), "stub")
+    return cm.pending_summaries(c, _summarised(c), "stub")
 
 
 @query(f"WITH {o.CLUSTERABLE}, {LABELLED}, {HASHES} SELECT * FROM h ORDER BY n_members DESC, ws, community LIMIT 8")
@@ -256,18 +254,53 @@ def related_pages(s, d):
     return search.related(t.pages(s, d), t.embeddings(s, d).select("page_id", "embedding"), 0, 5, 0.95)
 
 
-@query(f"""WITH RECURSIVE {o.PAGES}, {o.ACCESS}, ids AS (SELECT page_id FROM pg SEMI JOIN readable USING (page_id) WHERE NOT archived), {o.BLOCKS},
-tok AS (SELECT page_id, block_index, list_transform(regexp_extract_all(text, '{o.WORD}'), lambda w: regexp_replace(lower(w), '{o.EDGES_OF_NAME}', '', 'g')) AS k FROM bl SEMI JOIN ids USING (page_id)),
-l AS (SELECT page_id, block_index, len(list_filter(k, lambda w: w = 'the')) + len(list_filter(k, lambda w: w = 'that')) AS times FROM tok WHERE list_contains(k, 'the') AND list_contains(k, 'that')),
-la AS (SELECT page_id, row_number() OVER (ORDER BY times DESC, page_id, block_index) AS rank FROM l QUALIFY rank <= 50), q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-v AS (SELECT vec_id AS page_id, round(1 - list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS distance FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q),
-va AS (SELECT page_id, row_number() OVER (ORDER BY distance, page_id) AS rank FROM v SEMI JOIN ids USING (page_id) WHERE distance < 0.75 QUALIFY rank <= 100),
-arms AS (SELECT page_id, rank, true AS lexical FROM la UNION ALL SELECT page_id, rank, false FROM va)
-SELECT page_id, round(sum(1 / (60.0::DOUBLE + rank)), 6) AS score, bool_or(lexical) AS lexical FROM arms GROUP BY page_id ORDER BY score DESC, lexical DESC, page_id LIMIT 20""")
+CHUNKS = """pc AS (SELECT page_id, 0 AS chunk_index, hash FROM pg UNION ALL SELECT a.page_id, 1, b.hash FROM pg a JOIN pg b ON b.page_id = a.page_id // 2 WHERE a.page_id % 4 = 0),
+cv AS (SELECT hash, arg_min(embedding::DOUBLE[], page_id) AS e FROM pg JOIN embeddings ON vec_id = page_id GROUP BY hash), ct AS (SELECT hash, any_value(text) AS text FROM pg GROUP BY hash)"""
+
+
+def _chunks(s, d):
+    """Chunks of the pages, a page's own text and of every fourth one also the text of the page of half its id; their vectors."""
+    p = t.pages(s, d).select("page_id", "hash")
+    half = p.select((F.col("page_id")).alias("half"), "hash")
+    more = p.where(F.col("page_id") % 4 == 0).select("page_id", F.expr("page_id div 2").alias("half")).join(half, "half").select("page_id", F.lit(1).alias("chunk_index"), "hash")
+    vectors = p.join(t.embeddings(s, d), "page_id").groupBy("hash").agg(F.min_by("embedding", "page_id").alias("embedding"))
+    return p.select("page_id", F.lit(0).alias("chunk_index"), "hash").unionByName(more), vectors
+
+
+#: Words whose stem is nd or st; both lexemes are asked for.
+DENSITY = rf"""words AS (SELECT page_id, block_index, regexp_extract_all(lower(text), '{lx.TOKEN.replace("'", "''")}') AS w FROM bl),
+places AS (SELECT page_id, block_index, i AS place, CASE WHEN w[i] IN ('nd', 'nd''s') THEN 0 WHEN w[i] IN ('st', 'st''s') THEN 1 END AS k FROM words, range(1, len(w) + 1) r(i) WHERE w[i] IN ('nd', 'nd''s', 'st', 'st''s')),
+turns AS (SELECT *, lag(k) OVER b AS pk, lag(place) OVER b AS pp FROM places WINDOW b AS (PARTITION BY page_id, block_index ORDER BY place)),
+dense AS (SELECT page_id, block_index, round(sum(2 / (place - pp)::DOUBLE), 9) AS density FROM turns WHERE k <> pk GROUP BY ALL)"""
+
+
+def _index(s, d):
+    folder = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    lx.store(t.blocks(t.pages(s, d)), folder)
+    lexemes = lx.query_lexemes("nd of the st")
+    return lx.lookup(s, folder, lexemes), lexemes
+
+
+@query(f"""WITH RECURSIVE {o.PAGES}, {o.ACCESS}, ids AS (SELECT page_id FROM pg SEMI JOIN readable USING (page_id) WHERE NOT archived), {o.BLOCKS}, {DENSITY}, {CHUNKS},
+la AS (SELECT page_id, block_index, row_number() OVER (ORDER BY density DESC, page_id, block_index) AS rank FROM dense SEMI JOIN ids USING (page_id) QUALIFY rank <= 50), q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+v AS (SELECT hash, round(1 - list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS distance FROM cv, q), near AS (SELECT * FROM v SEMI JOIN (SELECT hash FROM pc SEMI JOIN ids USING (page_id)) USING (hash) WHERE distance < 0.75 ORDER BY distance, hash LIMIT 100),
+best AS (SELECT page_id, hash, distance FROM near JOIN pc USING (hash) SEMI JOIN ids USING (page_id) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY distance, hash) = 1), va AS (SELECT *, row_number() OVER (ORDER BY distance, page_id) AS rank FROM best),
+arms AS (SELECT page_id, rank, 0 AS arm, block_index, text AS snippet FROM la JOIN bl USING (page_id, block_index) UNION ALL SELECT page_id, rank, 1, 0, text FROM va JOIN ct USING (hash)),
+fused AS (SELECT page_id, round(sum(1 / (60.0::DOUBLE + rank)), 6) AS score, bool_or(arm = 0) AS lexical, arg_min(snippet, {{'r': rank, 'a': arm, 'b': block_index}}) AS snippet FROM arms GROUP BY page_id)
+SELECT page_id, title, snippet, score, lexical FROM fused JOIN pg USING (page_id) ORDER BY score DESC, lexical DESC, page_id LIMIT 20""")
 def hybrid_rrf(s, d):
-    p, e = t.pages(s, d), t.embeddings(s, d).select("page_id", "embedding")
-    q = e.where(F.col("page_id") == 0).first()["embedding"]
-    return search.hybrid(p, t.blocks(p), e, ["the", "that"], q, _readable(s, d), 0.75)
+    p, (found, lexemes), (chunks, vectors) = t.pages(s, d), _index(s, d), _chunks(s, d)
+    q = t.embeddings(s, d).where(F.col("page_id") == 0).first()["embedding"]
+    return lx.hybrid(p, t.blocks(p), found, lexemes, vectors, chunks, p, q, _readable(s, d), 0.75)
+
+
+@query(f"""WITH {o.PAGES}, {CHUNKS}, q AS (SELECT e AS q FROM pc JOIN cv USING (hash) WHERE page_id = 8 ORDER BY chunk_index LIMIT 1), others AS (SELECT page_id, title FROM pg WHERE NOT archived AND page_id <> 8 AND ws = (SELECT ws FROM pg WHERE page_id = 8)),
+v AS (SELECT hash, round(1 - list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS distance FROM cv, q), near AS (SELECT * FROM v SEMI JOIN (SELECT hash FROM pc SEMI JOIN others USING (page_id)) USING (hash) WHERE distance < 0.95 ORDER BY distance, hash LIMIT 25),
+best AS (SELECT page_id, hash, distance FROM near JOIN pc USING (hash) SEMI JOIN others USING (page_id) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY distance, hash) = 1)
+SELECT page_id, title, text AS snippet, distance FROM best JOIN others USING (page_id) JOIN ct USING (hash) ORDER BY distance, page_id LIMIT 5""")
+def related_chunks(s, d):
+    chunks, vectors = _chunks(s, d)
+    return lx.related(t.pages(s, d), chunks, vectors, t.pages(s, d), 8, 5, 0.95)
 
 
 @query(f"WITH RECURSIVE {o.PAGES}, {o.ACCESS} SELECT page_id, access FROM readable")
@@ -457,33 +490,37 @@ def log_compaction(s, d):
     return log.compacted(_log(s, d), 65)
 
 
-@query()
+@query(f"WITH {o.PAGES}, {o.BLOCKS}, {DENSITY} SELECT page_id, block_index, density FROM dense ORDER BY density DESC, page_id, block_index LIMIT 50")
 def hybrid_fts(s, d):
-    p = t.pages(s, d)
-    b = t.blocks(p).select("page_id", "block_index", fts.rank(F.col("text"), "nd st").alias("density")).where(F.col("density").isNotNull())
-    return b.orderBy(F.desc("density"), "page_id", "block_index").limit(50)
+    found, lexemes = _index(s, d)
+    return lx.matched(found, lexemes).orderBy(F.desc("density"), "page_id", "block_index").limit(50)
 
 
-@query()
-def indexing_status(s, d):
-    p = t.pages(s, d)
-    a = queues.embedding_progress(p, _embedded(s, d)).select(F.lit("embed").alias("stage"), "done", "total")
-    b = queues.extraction_progress(p, _markers(s, d)).select(F.lit("extract").alias("stage"), "done", "total")
-    return a.unionByName(b).withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("done")))
+def _summarised(c):
+    """Summaries that the second community of each workspace has, and the first had of other members."""
+    kept = c.where(F.col("community") == 2).select("ws", "community", "member_hash", F.lit("stub").alias("model"))
+    return kept.unionByName(c.where(F.col("community") == 1).select("ws", "community", F.lit("old").alias("member_hash"), F.lit("stub").alias("model")))
 
 
-SQL["indexing_status"] = f"""WITH {o.PAGES}, {o.EMBEDDED}, {MARKERS}, c AS (SELECT DISTINCT hash FROM pg WHERE NOT archived), x AS (SELECT DISTINCT hash, ws FROM pg WHERE NOT archived), st AS (
-SELECT 'embed' AS stage, count(*) FILTER (hash IN (SELECT hash FROM embedded)) AS done, count(*) AS total FROM c UNION ALL SELECT 'extract', count(m.hash), count(*) FROM x LEFT JOIN markers m USING (hash, ws)) SELECT *, greatest(0, total - done) AS pending FROM st"""
+@query(f"""WITH {o.CLUSTERABLE}, {LABELLED}, {HASHES}, {o.EMBEDDED}, {MARKERS}, c AS (SELECT DISTINCT hash FROM pg WHERE NOT archived), x AS (SELECT DISTINCT hash, ws FROM pg WHERE NOT archived), st AS (
+SELECT 0 AS place, 'embed' AS stage, count(*) FILTER (hash IN (SELECT hash FROM embedded)) AS done, count(*) AS total FROM c UNION ALL SELECT 1, 'extract', count(m.hash), count(*) FROM x LEFT JOIN markers m USING (hash, ws)
+UNION ALL SELECT 2, 'summarise', count(*) FILTER (community = 2), count(*) FROM h) SELECT *, greatest(0, total - done) AS pending FROM st""")
+def indexing_status(s, d):
+    p, c = t.pages(s, d), cm.member_hashes(_by_length(s, d))
+    stages = (queues.embedding_progress(p, _embedded(s, d)), queues.extraction_progress(p, _markers(s, d)), cm.summary_progress(c, _summarised(c), "stub"))
+    a, b, c = (df.select(F.lit(i).alias("place"), F.lit(name).alias("stage"), "done", "total") for i, (name, df) in enumerate(zip(("embed", "extract", "summarise"), stages, strict=True)))
+    return a.unionByName(b).unionByName(c).withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("done"))).orderBy("place")
 
 
 @query()
 def local_answer(s, d):
     """The question's words and, as there is no model here, the vector of page 0 search all readable pages."""
-    p, e, question = t.pages(s, d), t.embeddings(s, d).select("page_id", "embedding"), "what is the"
-    q = e.where(F.col("page_id") == 0).first()["embedding"]
-    seeds = gr.seeds_from_pages(search.hybrid(p, t.blocks(p), e, question.split(), q, _readable(s, d), 0.75), p)
-    hits = gr.with_reserved_slots(gr.local_hits(gr.walk(_clusterable(s, d), seeds), p, _readable(s, d), 24), 8)
-    got = kn.local_answer(hits, p, gr.seed_entities(_clusterable(s, d), seeds), question, kn.StubAnswerer())
+    p, (found, lexemes), (chunks, vectors), k = t.pages(s, d), _index(s, d), _chunks(s, d), 8
+    q = t.embeddings(s, d).where(F.col("page_id") == 0).first()["embedding"]
+    searched = lx.hybrid(p, t.blocks(p), found, lexemes, vectors, chunks, p, q, _readable(s, d), 0.75)
+    seeds = gr.seeds_from_pages(searched, p)
+    hits = gr.with_reserved_slots(gr.local_hits(gr.walk(_clusterable(s, d), seeds), p, _readable(s, d), 3 * k), k)
+    got = kn.local_answer(hits, p, gr.seed_entities(_clusterable(s, d), seeds), "what is nd of the st", kn.StubAnswerer())
     return s.createDataFrame([(got.text, len(got.citations), len(got.subjects))], "answer string, citations int, subjects int")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.plans.settle import settled
+from quillgraph.plans.settle import written
 
 
 def live(pages: DataFrame) -> DataFrame:
@@ -20,33 +20,38 @@ def clamp(n: int, most: int) -> int:
     return max(1, min(n, most))
 
 
-def readable(pages: DataFrame, acls: DataFrame, depth: int = 100) -> DataFrame:
-    """page_id, access: the nearest override on the way up, read at a root without one; none is left out.
+def nearest_above(pages: DataFrame) -> DataFrame:
+    """(page_id, found) of (page_id, next, found): what the page or the nearest page above it has found, null if none has.
 
-    Every page looks for its override a level further up each round, so rounds are the depth of the tree and rows
-    never more than the pages.
+    Each page knows how things stand some steps up and asks the page there, which knows as much from there on; so the
+    steps double, twice a round, and rounds grow with the logarithm of the depth. Pages below one that does not exist or
+    in a circle have no row, unless they have found something on the way.
     """
-    p = settled(pages.select("page_id", "parent_id").join(acls.select("page_id", "access"), "page_id", "left"))
-    up = p.select(F.col("page_id").alias("up"), F.col("parent_id").alias("next"), F.col("access").alias("found"))
-    done = p.where(F.col("access").isNotNull() | F.col("parent_id").isNull()).select("page_id", F.coalesce("access", F.lit("read")).alias("access"))
-    open_ = p.where(F.col("access").isNull() & F.col("parent_id").isNotNull()).select("page_id", F.col("parent_id").alias("at"))
-    for _ in range(depth):
-        step = open_.join(up, F.col("at") == F.col("up"))
-        done = done.unionByName(step.where(F.col("found").isNotNull() | F.col("next").isNull()).select("page_id", F.coalesce("found", F.lit("read")).alias("access")))
-        open_ = settled(step.where(F.col("found").isNull() & F.col("next").isNotNull()).select("page_id", F.col("next").alias("at")))
+    state = written(pages.select("page_id", "next", "found"))
+    closed = F.col("found").isNotNull() | F.col("next").isNull()
+    done, open_ = state.where(closed), state.where(~closed)
+    for _ in range(state.count().bit_length()):  # a circle would go on for ever
+        for _ in range(2):
+            above = state.select(F.col("page_id").alias("next"), F.col("next").alias("further"), F.col("found").alias("seen"))
+            # those that are through stay as they are, the others look up
+            moved = open_.join(above, "next").select("page_id", F.col("further").alias("next"), F.col("seen").alias("found"))
+            done, open_ = done.unionByName(moved.where(closed)), moved.where(~closed)
+            state = done.unionByName(open_)
+        state = written(state)
+        done, open_ = state.where(closed), state.where(~closed)
         if open_.isEmpty():
             break
-    return done.where(F.col("access") != "none")
+    return done.select("page_id", "found")
 
 
-def subtree(pages: DataFrame, root: int, depth: int = 100) -> DataFrame:
+def readable(pages: DataFrame, acls: DataFrame) -> DataFrame:
+    """page_id, access: the nearest override on the way up, read at a root without one; none is left out."""
+    p = pages.select("page_id", F.col("parent_id").alias("next")).join(acls.select("page_id", F.col("access").alias("found")), "page_id", "left")
+    return nearest_above(p).select("page_id", F.coalesce("found", F.lit("read")).alias("access")).where(F.col("access") != "none")
+
+
+def subtree(pages: DataFrame, root: int) -> DataFrame:
     """page_id of a live page and of the live pages below it through live ones."""
-    p = settled(live(pages).select("page_id", "parent_id"))
-    level = p.where(F.col("page_id") == root).select("page_id")
-    out = level
-    for _ in range(depth):
-        level = settled(p.join(level.select(F.col("page_id").alias("parent_id")), "parent_id").select("page_id"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    found = F.when(F.col("page_id") == root, True)
+    p = live(pages).select("page_id", F.col("parent_id").alias("next"), found.alias("found"))
+    return nearest_above(p).where("found").select("page_id")
