@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.catalogue import HASHES, LABELLED, _by_length, _clusterable, query
 from quillgraph.functions import wire
+from quillgraph.operators import collections as co
 from quillgraph.operators import communities as cm
 from quillgraph.operators import extraction, materialise
 from quillgraph.operators import graph as gr
@@ -198,3 +199,17 @@ def workspaces_to_embed(s, d):
     done = c.where((F.col("community") % 2 == 0) | (F.col("n_members") >= 20) | (F.col("community") == 3))
     done = done.select("ws", "community", F.when((F.col("community") == 3) & (F.col("n_members") < 20), F.lit("of another text")).otherwise(F.md5(text)).alias("summary_hash"))
     return su.workspaces_to_embed(c, have, done, "stub", 3)
+
+
+@query("SELECT p_brand AS ws, count(*) AS edges FROM (SELECT p_brand, p_size, unnest(string_split(p_type, ' ')) FROM part) WHERE p_size > 3 GROUP BY p_brand")
+def property_edge_counts(s, d):
+    """Edges of the parts' types by brand, small parts being archived."""
+    p = t.table(s, d, "part").select(F.col("p_brand").alias("ws"), F.col("p_partkey").alias("page_id"), (F.col("p_size") <= 3).alias("archived"), "p_type")
+    return co.property_edge_counts(p.select("ws", "page_id", F.explode(F.split("p_type", " ")).alias("target")), p)
+
+
+@query(f"""WITH {o.CLUSTERABLE}, ent AS (SELECT DISTINCT ws, {o.key('name')} AS name FROM (SELECT ws, unnest(names) AS name FROM named) WHERE {o.plausible('name')}), used AS (SELECT DISTINCT ws, unnest([source, target]) AS name FROM clusterable)
+SELECT (SELECT count(*) FROM edges ANTI JOIN live_chunks USING (ws, hash)) AS edges, (SELECT count(*) FROM ent ANTI JOIN used USING (ws, name)) AS entities""")
+def reap_counts(s, d):
+    p = t.pages(s, d)
+    return gr.reap_counts(gr.edges(p), gr.entities(p), p)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import relation_slug
-from quillgraph.operators.predicates import clamp
+from quillgraph.operators.predicates import clamp, live
 
 OPS = ("eq", "neq", "contains", "gt", "lt", "is_empty", "is_not_empty")
 KINDS = ("text", "number", "select", "multi_select", "date", "checkbox", "url", "relation", "rollup")
@@ -127,3 +127,8 @@ def validated(kind: str, value: str) -> bool:
 def property_edge_count(edges: DataFrame, live_titles: DataFrame) -> DataFrame:
     """How many property edges leave live pages; live_titles has their column title."""
     return edges.join(live_titles.select(F.col("title").alias("source")), "source", "left_semi").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def property_edge_counts(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """(ws, edges): property edges (ws, page_id, ...) of each workspace's live pages."""
+    return edges.join(live(pages).select("ws", "page_id"), ["ws", "page_id"], "left_semi").groupBy("ws").agg(F.count(F.lit(1)).alias("edges"))

@@ -116,3 +116,10 @@ def dead_edges(edges: DataFrame, pages: DataFrame) -> DataFrame:
 def orphan_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
     used = edges.select("ws", F.explode(F.array("source", "target")).alias("name")).distinct()
     return entities.join(used, ["ws", "name"], "left_anti")
+
+
+def reap_counts(edges: DataFrame, entities: DataFrame, pages: DataFrame) -> DataFrame:
+    """(edges, entities): how many edges no live page of their workspace holds up, and how many entities no other edge has."""
+    dead = dead_edges(edges, pages).agg(F.count(F.lit(1)).alias("edges"))
+    orphans = orphan_entities(entities, clusterable(edges, pages)).agg(F.count(F.lit(1)).alias("entities"))
+    return dead.join(orphans)  # a row each

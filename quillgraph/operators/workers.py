@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import signal
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.operators import communities, graph, ingest
+from quillgraph.operators import communities, graph, ingest, summaries
 from quillgraph.operators.predicates import live
 from quillgraph.operators.queues import pending_extraction
 
@@ -40,6 +42,10 @@ def provider(spec: str) -> Provider:
     raise ProviderError(spec)
 
 
+class RateLimited(Exception):
+    """The provider takes no more for now, from any text."""
+
+
 class Extractor(ABC):
     model_id: str
 
@@ -59,24 +65,34 @@ class StubExtractor(Extractor):
 
 
 def extracted(pages: DataFrame, done: DataFrame, extractor: Extractor) -> DataFrame:
-    """(hash, model, names, edges, failed) of the chunks that some workspace waits for, each extracted once."""
+    """(hash, model, names, edges, failed) of the chunks that some workspace waits for, each extracted once.
+
+    A failure is one chunk's own. When the provider is rate-limited a task asks it no more: what it has not asked for has
+    no row, and waits for the next pass.
+    """
     wanted = pending_extraction(pages, done).select("hash").distinct()
     texts = live(pages).join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
     edge = pa.struct([("source", pa.string()), ("target", pa.string()), ("relation", pa.string()), ("weight", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, edges, failed = [], [], []
-            for text in b.column(1).to_pylist():
+            hashes, names, edges, failed, limited = [], [], [], [], False
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     n, e = extractor.extract(text or "")
                     bad = False
+                except RateLimited:
+                    limited = True
+                    break
                 except Exception:  # one text's failure is its own; it stays pending
                     n, e, bad = [], [], True
+                hashes.append(h)
                 names.append(n)
                 edges.append([dict(zip(("source", "target", "relation", "weight"), x, strict=True)) for x in e])
                 failed.append(bad)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([extractor.model_id] * b.num_rows, pa.string()), pa.array(names, pa.list_(pa.string())), pa.array(edges, pa.list_(edge)), pa.array(failed, pa.bool_())], ["hash", "model", "names", "edges", "failed"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array([extractor.model_id] * len(hashes), pa.string()), pa.array(names, pa.list_(pa.string())), pa.array(edges, pa.list_(edge)), pa.array(failed, pa.bool_())], ["hash", "model", "names", "edges", "failed"])
+            if limited:
+                return
 
     kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("relation", T.StringType()), T.StructField("weight", T.DoubleType())])
     schema = T.StructType([T.StructField("hash", T.StringType()), T.StructField("model", T.StringType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("edges", T.ArrayType(kind)), T.StructField("failed", T.BooleanType())])
@@ -106,13 +122,21 @@ def full_run(pages: DataFrame, known: DataFrame | None = None) -> tuple[DataFram
     return members, new if known is None else communities.swapped(known, new)
 
 
-def backfilled(pages: DataFrame, embedder: ingest.Embedder) -> dict[str, DataFrame]:
-    """All stages from pages on, each over what the one before it made."""
+def backfilled(pages: DataFrame, embedder: ingest.Embedder, summariser: summaries.Summariser | None = None) -> dict[str, DataFrame]:
+    """All stages from pages on, each over what the one before it made: chunks, vectors, the graph without what no live page
+    holds up any more, communities, and with a summariser their summaries and these texts' vectors.
+    """
     chunks = ingest.chunked(live(pages))
     unique = ingest.deduplicated_chunks(chunks)
     edges = graph.edges(pages)
     members, named = full_run(pages)
-    return {"page_chunks": chunks, "chunks": unique, "embeddings": ingest.embedded(unique, embedder), "edges": graph.clusterable(edges, pages), "members": members, "communities": named}
+    kept = graph.clusterable(edges, pages)
+    out = {"page_chunks": chunks, "chunks": unique, "embeddings": ingest.embedded(unique, embedder), "edges": kept, "reaped": graph.reap_counts(edges, graph.entities(pages), pages), "members": members, "communities": named}
+    if summariser is not None:
+        none = pages.sparkSession.createDataFrame([], summaries.SUMMARIES)
+        out["summaries"] = summaries.run_once(named, members, none, summariser).summaries
+        out["summary_embeddings"] = ingest.embedded(out["summaries"].select(F.md5("summary").alias("hash"), F.col("summary").alias("text")).distinct(), embedder)
+    return out
 
 
 class Plugins:
@@ -121,8 +145,41 @@ class Plugins:
     def __init__(self, spark: SparkSession, ws: str, settings: dict[str, str] | None = None):
         self.spark, self.ws, self.settings, self.names = spark, ws, dict(settings or {}), []
 
-    def register(self, name: str, f: Callable, returns: str) -> None:
-        """f(host, *values) on one row's values; host has ws and settings."""
+    def register(self, name: str, f: Callable, returns: str, seconds: float | None = 10.0) -> None:
+        """f(host, *values) on one row's values, which come in Arrow batches; host has ws and settings. A call that raises, or
+        takes longer than that many seconds, gives null and costs its row alone.
+        """
         host = {"ws": self.ws, "settings": self.settings}
-        self.spark.udf.register(name, lambda *a: f(host, *a), returns)
+
+        def guarded(*values):
+            with deadline(seconds):
+                try:
+                    return f(host, *values)
+                except Exception:  # whatever a plugin does wrong is its own row's
+                    return None
+
+        self.spark.udf.register(name, F.udf(guarded, returns, useArrow=True))
         self.names.append(name)
+
+
+class TookTooLong(Exception):
+    pass
+
+
+@contextmanager
+def deadline(seconds: float | None) -> Iterator[None]:
+    """Raises TookTooLong in what runs within once the time is over; for a worker's main thread."""
+    if seconds is None:
+        yield
+        return
+
+    def over(*_):
+        raise TookTooLong
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)

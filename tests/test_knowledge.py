@@ -176,3 +176,49 @@ def test_plugins_see_their_host(spark):
 
     wk.Plugins(spark, "w", {"sep": "-"}).register("tagged", lambda host, x: f"{host['ws']}{host['settings']['sep']}{x}", "string")
     assert spark.sql("SELECT tagged('a') AS x").first()["x"] == "w-a"
+
+
+def test_plugins_fail_and_hang_for_their_row_alone(spark):
+    from quillgraph.operators import workers as wk
+
+    def moody(host, x):
+        if x == 1:
+            raise ValueError
+        while x == 2:
+            pass
+        return x * 10
+
+    wk.Plugins(spark, "w").register("moody", moody, "long", seconds=0.3)
+    assert [r.y for r in spark.sql("SELECT id, moody(id) AS y FROM range(5)").orderBy("id").collect()] == [0, None, None, 30, 40]
+
+
+def test_a_rate_limit_leaves_the_rest_for_later(spark):
+    from quillgraph.operators import workers as wk
+
+    class Limited(wk.StubExtractor):
+        def __init__(self):
+            self.asked = 0
+
+        def extract(self, text):
+            self.asked += 1
+            if self.asked > 3:
+                raise wk.RateLimited
+            if self.asked == 2:
+                raise ValueError
+            return super().extract(text)
+
+    pages = spark.createDataFrame([(i, "w", None, "", f"Ann Bob{i}", f"h{i}", False) for i in range(20)], PAGE)
+    got = wk.extracted(pages, spark.createDataFrame([], "hash string, ws string"), Limited()).coalesce(1).collect()
+    assert len(got) == 3 and sum(r.failed for r in got) == 1
+
+
+def test_backfilling_goes_through_all_stages(spark):
+    from quillgraph.operators import ingest, summaries
+    from quillgraph.operators import workers as wk
+
+    pages = spark.createDataFrame([(1, "w", None, "", "Ann Bob Cid Ann", "1", False), (2, "w", None, "", "Dan Eve Fay Dan", "2", False), (3, "w", None, "", "Gus Hal", "3", True)], PAGE)
+    out = wk.backfilled(pages, ingest.HashEmbedder(), summaries.StubSummariser())
+    n = {k: v.count() for k, v in out.items()}
+    assert n["page_chunks"] == n["chunks"] == n["embeddings"] == 2 and n["edges"] == 6 and n["communities"] == 2
+    assert tuple(out["reaped"].first()) == (1, 2) and n["summary_embeddings"] == 2
+    assert {r.summary for r in out["summaries"].collect()} == {"3 entities: ann, bob, cid", "3 entities: dan, eve, fay"}
