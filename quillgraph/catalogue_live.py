@@ -125,7 +125,7 @@ def wire_hits(s, d):
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
     """A model's answer as JSON for each chunk: capitalised words, each linked with the next; one in sixteen is cut off."""
-    names = gr.extracted(t.pages(s, d)).where(F.size("names") >= 2)
+    names = gr.extracted(t.pages(s, d)).where(F.size("names") >= 2).dropDuplicates(["ws", "hash"])
     entities = F.transform("names", lambda n: F.struct(n.alias("name"), F.lit("CONCEPT").alias("entity_type")))
     ends = lambda i: F.struct(F.get("names", i - 1).alias("source"), F.get("names", i).alias("target"), F.lit("mentions_with").alias("relation"), (i % 3).alias("weight"))
     raw = F.to_json(F.struct(entities.alias("entities"), F.transform(F.sequence(F.lit(1), F.size("names") - 1), ends).alias("edges")))

@@ -15,11 +15,12 @@ RRF, DECAY = 60, 0.5
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """ws, hash, names: the capitalised words of each chunk in order, without punctuation at their ends."""
+    """ws, hash, names: the capitalised words of each page's chunk in order, without punctuation at their ends. Pages of the same
+    text have equal rows.
+    """
     capital = F.filter(words(F.col("text")), lambda w: w.rlike(r"^\p{Lu}"))
     names = F.filter(F.transform(capital, lambda w: F.regexp_replace(w, ALNUM_EDGES, "")), lambda w: w != "")
-    # the hash fixes the text, so names are made where the texts are, and texts are not shuffled
-    return pages.select("ws", "hash", names.alias("names")).distinct()
+    return pages.select("ws", "hash", names.alias("names"))
 
 
 def entities(pages: DataFrame) -> DataFrame:
@@ -27,11 +28,16 @@ def entities(pages: DataFrame) -> DataFrame:
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """ws, source, target, hash, weight: neighbours in the chunk's list of names, once for each chunk."""
-    ends = F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda i: F.struct(F.element_at("names", i).alias("s"), F.element_at("names", i + 1).alias("t")))
-    pairs = extracted(pages).where(F.size("names") >= 2).select("ws", "hash", F.explode(ends).alias("e"))
-    pairs = pairs.where(is_plausible_entity(F.col("e.s")) & is_plausible_entity(F.col("e.t")))
-    return pairs.select("ws", normalised_entity(F.col("e.s")).alias("source"), normalised_entity(F.col("e.t")).alias("target"), "hash").distinct().withColumn("weight", F.lit(1.0))
+    """ws, source, target, hash, weight: neighbours in the chunk's list of names, once for each chunk.
+
+    Each name is judged and normalised once, and not as the end of one edge and the beginning of the next. Chunks on many
+    pages meet in the last distinct, which keeps one edge of each before it sends any.
+    """
+    keys = F.transform("names", lambda n: F.when(is_plausible_entity(n), normalised_entity(n)))
+    keyed = extracted(pages).where(F.size("names") >= 2).select("ws", "hash", keys.alias("keys"))
+    pairs = keyed.select("ws", "hash", F.explode(F.arrays_zip(F.col("keys").alias("s"), F.slice("keys", F.lit(2), F.size("keys")).alias("t"))).alias("e"))
+    pairs = pairs.where(F.col("e.s").isNotNull() & F.col("e.t").isNotNull())
+    return pairs.select("ws", F.col("e.s").alias("source"), F.col("e.t").alias("target"), "hash").distinct().withColumn("weight", F.lit(1.0))
 
 
 def clusterable(edges: DataFrame, pages: DataFrame) -> DataFrame:

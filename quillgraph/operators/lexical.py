@@ -36,10 +36,8 @@ def postings(blocks: DataFrame) -> DataFrame:
     """
     tokens = blocks.select("page_id", "block_index", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("at", "word"))
     tokens = tokens.where(~F.col("word").isin(sorted(fts.STOP)))
-    # by block and word first, so that a frequent word is joined once a block
-    words = settled(tokens.groupBy("page_id", "block_index", "word").agg(F.collect_list(F.col("at") + 1).alias("places")))
-    named = words.join(stems(words), "word")
-    return named.groupBy("lexeme", "page_id", "block_index").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    named = tokens.join(stems(tokens), "word")
+    return named.groupBy("lexeme", "page_id", "block_index").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("places"))
 
 
 def _bucket(lexeme: Column) -> Column:
@@ -116,6 +114,11 @@ def vector_arm(vectors: DataFrame, page_chunks: DataFrame, q: Sequence[float], i
     return pages.withColumn("rank", F.row_number().over(W.orderBy("distance", "page_id")))
 
 
+def texts_of(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """(hash, snippet) of the chunks of hits, of which there are no more than a search takes."""
+    return texts.select("hash", F.col("text").alias("snippet")).join(F.broadcast(hits.select("hash").distinct()), "hash", "left_semi").dropDuplicates(["hash"])
+
+
 def hybrid(pages: DataFrame, blocks: DataFrame, found: DataFrame, lexemes: Sequence[str], vectors: DataFrame, page_chunks: DataFrame, texts: DataFrame, q: Sequence[float], readable: DataFrame | None = None, cutoff: float = CUTOFF, limit: int = 20) -> DataFrame:
     """(page_id, title, snippet, score, lexical), best first, of live and readable pages: ranks in both arms, fused.
 
@@ -124,8 +127,10 @@ def hybrid(pages: DataFrame, blocks: DataFrame, found: DataFrame, lexemes: Seque
     """
     ids = live(pages).select("page_id")
     ids = settled(ids if readable is None else ids.join(readable.select("page_id"), "page_id", "left_semi"))
-    lex = lexical_arm(found, lexemes, ids).join(blocks.select("page_id", "block_index", F.col("text").alias("snippet")), ["page_id", "block_index"])
-    vec = vector_arm(vectors, page_chunks, q, ids, cutoff).join(texts.select("hash", F.col("text").alias("snippet")).dropDuplicates(["hash"]), "hash")
+    # the arms are cut to their best by now, so they go to where the texts are
+    lex = blocks.select("page_id", "block_index", F.col("text").alias("snippet")).join(F.broadcast(settled(lexical_arm(found, lexemes, ids))), ["page_id", "block_index"])
+    vec = settled(vector_arm(vectors, page_chunks, q, ids, cutoff))
+    vec = vec.join(texts_of(texts, vec), "hash")
     arms = lex.select("page_id", "rank", F.lit(0).alias("arm"), "block_index", "snippet").unionByName(vec.select("page_id", "rank", F.lit(1).alias("arm"), F.lit(0).alias("block_index"), "snippet"))
     out = arms.groupBy("page_id").agg(
         F.round(F.sum(1 / (F.lit(float(RRF)) + F.col("rank"))), 6).alias("score"), F.bool_or(F.col("arm") == 0).alias("lexical"), F.min_by("snippet", F.struct("rank", "arm", "block_index")).alias("snippet"),
@@ -146,5 +151,6 @@ def related(pages: DataFrame, page_chunks: DataFrame, vectors: DataFrame, texts:
     others = live(pages).where(F.col("page_id") != page_id).join(home, "ws", "left_semi").select("page_id", "title")
     chunks = page_chunks.join(others.select("page_id"), "page_id", "left_semi").select("page_id", "hash")
     best = best_chunks(nearest_chunks(vectors, chunks, q, cutoff, 5 * limit), chunks)
-    best = best.orderBy("distance", "page_id").limit(limit).join(texts.select("hash", F.col("text").alias("snippet")).dropDuplicates(["hash"]), "hash").join(others, "page_id")
+    best = settled(best.orderBy("distance", "page_id").limit(limit))
+    best = best.join(texts_of(texts, best), "hash").join(others, "page_id")
     return best.select("page_id", "title", "snippet", "distance").orderBy("distance", "page_id")

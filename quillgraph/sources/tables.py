@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import block_hash, opening
 
 
+#: A table of one file of no more bytes is dealt out by its first column.
+SMALL = 64 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """The table; a small one of a single file, which one task would read and work on alone, on as many tasks as there are cores."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    if 1 << 20 < df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL and len(df.inputFiles()) == 1:
+        df = df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
+    return df
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
