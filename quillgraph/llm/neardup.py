@@ -25,6 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import WordHashes, compact, mixed, settle, table
@@ -38,6 +39,8 @@ SHORT = 16
 PARTS = 1024
 #: How often a class that is apart from most of a list is compared with one more of these, before it is with all.
 ROUNDS = 4
+#: And with how many of those left it is compared first then; four times as many each time after.
+PICKS = 4
 TIMES = np.uint64(0xC2B2AE3D27D4EB4F)
 TOP = np.uint64(1 << 63)
 #: Bits of the filter that picks the documents whose sets are needed: 2 MB, or up to 8 MB for more; what would fill
@@ -254,6 +257,24 @@ class Linker:
             roots = settle(components(found))
         return found, roots
 
+    def few_by_few(self, left: DataFrame, found: DataFrame, roots: DataFrame, width: int = PICKS) -> DataFrame:
+        """Links found before, and of pairs (a, b, x), x being the end that is apart, those that connect what these leave apart.
+
+        Each x tries some partners, and more the next time; what has come together meanwhile is not looked at any more. So
+        a class that links with a large component tries a few of its classes, and one that does not tries all there are.
+        """
+        place = F.row_number().over(W.partitionBy("x").orderBy(F.xxhash64("a", "b"), "a", "b"))
+        while not left.isEmpty():
+            ranked = left.withColumn("place", place)
+            links = self.confirmed(self.may_link(compact(ranked.where(F.col("place") <= width).select("a", "b"))))
+            rest = ranked.where(F.col("place") > width).select("a", "b", "x")
+            if not links.isEmpty():
+                found = compact(found.unionByName(links))
+                roots = settle(components(found))
+                rest = rooted(rooted(rest, roots, "a"), roots, "b").where(F.col("a_root") != F.col("b_root")).select("a", "b", "x")
+            left, width = compact(rest, 200_000), 4 * width
+        return found
+
     def early(self, some: DataFrame) -> DataFrame:
         """(vid, value, i, n, df): of the full sets of some classes, the shingles that may be the first shared by a linked
         pair of these, rarest among these first, with their places."""
@@ -360,8 +381,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, least: int) -> DataFra
     more = dealt(other, first.where(F.col("root") != F.col("main")), "value", often, F.col("y")).where((F.col("root") != F.col("y_root")) & can)
     # of two that are both apart from the list's main component, one way is enough
     more = more.where((F.col("y_root") == F.col("main")) | (F.col("vid") < F.col("y")))
-    more = linker.may_link(compact(more.select(*pair_of(F.col("vid"), F.col("y"))).distinct().join(pairs, ["a", "b"], "left_anti")))
-    return linker.connected(more, found, reach)[0]
+    left = more.groupBy(*pair_of(F.col("vid"), F.col("y"))).agg(F.min("vid").alias("x")).join(pairs, ["a", "b"], "left_anti")
+    return linker.few_by_few(compact(left, 200_000), found, roots)
 
 
 def apart(lists: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
