@@ -194,7 +194,8 @@ def sets_of(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sig", "members"])
 
     made = read.mapInArrow(run, "id long, sig binary, members binary")
-    return made.join(needed.select("vid", "id", "sig"), ["id", "sig"]).dropDuplicates(["vid"]).select("vid", "members")
+    # a class has one id and sig, by which its sets stand together after the join
+    return made.join(needed.select("vid", "id", "sig"), ["id", "sig"]).dropDuplicates(["id", "sig"]).select("vid", "members")
 
 
 def confirming(least: int):
