@@ -95,17 +95,20 @@ def replaced_blocks(s, d):
     return table.read().select("page_id", "block_index", "hash")
 
 
-@query(f"""WITH {o.PAGES}, lg AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN text || chr(10) || 'a last line' ELSE text END AS text FROM pg WHERE NOT archived AND page_id % 11 <> 0), n AS (SELECT page_id, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS blocks, len(regexp_extract_all(text, '{o.WORD}')) AS words FROM lg)
-SELECT page_id, coalesce(blocks, 0) AS blocks, coalesce(words, 0) AS words FROM pg LEFT JOIN n USING (page_id) WHERE NOT archived""")
+LETTER = r"\p{L}"
+
+
+@query(f"""WITH {o.PAGES}, lg AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN text || chr(10) || 'a last line' ELSE text END AS text FROM pg WHERE NOT archived AND page_id % 11 <> 0), n AS (SELECT page_id, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS blocks, len(regexp_extract_all(text, '{LETTER}')) AS letters FROM lg)
+SELECT page_id, coalesce(blocks, 0) AS blocks, coalesce(letters, 0) AS letters FROM pg LEFT JOIN n USING (page_id) WHERE NOT archived""")
 def reprojected_pages(s, d):
-    """Live pages from a log of their texts, some with a second update and some without any: blocks, and words of the chunks."""
+    """Live pages from a log of their texts, some with a second update and some without any: blocks, and letters of the chunks."""
     p = t.pages(s, d)
     first = p.where(F.col("page_id") % 11 != 0).select("page_id", F.lit(1).alias("seq"), F.col("text").alias("update"))
     second = first.where(F.col("page_id") % 3 == 0).select("page_id", F.lit(2).alias("seq"), F.concat("update", F.lit("\na last line")).alias("update"))
     store = materialise.Store(s, _folder(s, "store"))
     done = materialise.reproject(store, first.unionByName(second), p.select("page_id", "ws", "archived"))
-    words = store.chunk_texts().groupBy("page_id").agg(F.sum(F.regexp_count("text", F.lit(o.WORD))).alias("words"))
-    return done.join(words, "page_id", "left").select("page_id", "blocks", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
+    letters = store.chunk_texts().groupBy("page_id").agg(F.sum(F.regexp_count("text", F.lit(LETTER))).alias("letters"))
+    return done.join(letters, "page_id", "left").select("page_id", "blocks", F.coalesce("letters", F.lit(0)).cast("long").alias("letters"))
 
 
 @query("""SELECT doc_id AS page_id, CASE doc_id % 7 WHEN 1 THEN 'title: no string' WHEN 2 THEN 'page_id: no string' WHEN 3 THEN 'not JSON' WHEN 4 THEN 'score: no number' WHEN 5 THEN 'not an object' END AS fault,
@@ -190,14 +193,14 @@ def themes_for_search(s, d):
     return top.join(skipped, "ws").select("ws", "community", "n_members", "skipped")
 
 
-@query(f"""WITH {o.CLUSTERABLE}, {LABELLED}, {HASHES} SELECT ws, min(n_members) AS oldest FROM h WHERE NOT (community % 2 = 0 OR n_members >= 20) GROUP BY ws ORDER BY oldest, ws LIMIT 3""")
+@query(f"""WITH {o.CLUSTERABLE}, {LABELLED}, {HASHES} SELECT ws, min(n_members) AS oldest FROM h WHERE NOT (community % 2 = 0 OR n_members % 3 > 0) GROUP BY ws ORDER BY oldest, ws LIMIT 3""")
 def workspaces_to_embed(s, d):
     """The first workspaces with a summary that has no vector, or one of another text. A community's size stands for its age."""
     c = settled(cm.member_hashes(_by_length(s, d))).withColumn("created_at", F.col("n_members"))
     text = F.concat_ws(" ", "member_hash", "community")
     have = c.select("ws", "community", F.lit("stub").alias("model"), text.alias("summary"))
-    done = c.where((F.col("community") % 2 == 0) | (F.col("n_members") >= 20) | (F.col("community") == 3))
-    done = done.select("ws", "community", F.when((F.col("community") == 3) & (F.col("n_members") < 20), F.lit("of another text")).otherwise(F.md5(text)).alias("summary_hash"))
+    done = c.where((F.col("community") % 2 == 0) | (F.col("n_members") % 3 > 0) | (F.col("community") == 3))
+    done = done.select("ws", "community", F.when((F.col("community") == 3) & (F.col("n_members") % 3 == 0), F.lit("of another text")).otherwise(F.md5(text)).alias("summary_hash"))
     return su.workspaces_to_embed(c, have, done, "stub", 3)
 
 
