@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,27 +19,49 @@ from quillgraph.plans.settle import settled
 TOKEN = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"
 RRF, LEXICAL, VECTOR, CUTOFF = 60, 50, 100, 0.45
 BUCKETS = 64
+#: Blocks that a task numbers the words of at once, and words whose stems it keeps.
+ROWS, WORDS = 500, 200_000
 POSTINGS = "lexeme string, page_id long, block_index int, places array<int>, bucket int"
 
 
-def stems(words: DataFrame) -> DataFrame:
-    """(word, lexeme) of (word), each word once: only the vocabulary goes through Python."""
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (page_id, block_index, words) -> (lexeme, page_id, block_index, places), some blocks at a time.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(fts.stem, b.column(0).to_pylist()), pa.string())], ["word", "lexeme"])
-
-    return words.select("word").distinct().mapInArrow(run, "word string, lexeme string")
+    Words are numbered, so that each is stemmed once, and a block's places never leave their row.
+    """
+    stems: dict[str, str | None] = dict.fromkeys(fts.STOP)
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            b = whole.slice(start, ROWS)
+            n = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1
+            words = b.column(2).flatten().dictionary_encode()
+            if len(stems) > WORDS:
+                stems = dict.fromkeys(fts.STOP)
+            known = words.dictionary.to_pylist()
+            for w in known:
+                if w not in stems:
+                    stems[w] = fts.stem(w)
+            lexemes = list(dict.fromkeys(x for w in known if (x := stems[w]) is not None))
+            at = {x: i for i, x in enumerate(lexemes)} | {None: -1}
+            lexeme = np.array([at[stems[w]] for w in known], np.int64)[words.indices.to_numpy()]
+            kept = np.flatnonzero(lexeme >= 0)
+            kept = kept[np.argsort(lexeme[kept], kind="stable")]  # rows and places are in order already
+            lexeme, row, place = lexeme[kept], row[kept], place[kept]
+            first = np.flatnonzero(np.diff(lexeme, prepend=-1).astype(bool) | np.diff(row, prepend=-1).astype(bool))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)), pa.int32()), pa.array(place, pa.int32()))
+            of = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([pa.array(lexemes, pa.string()).take(pa.array(lexeme[first])), b.column(0).take(of), b.column(1).take(of), places], ["lexeme", "page_id", "block_index", "places"])
 
 
 def postings(blocks: DataFrame) -> DataFrame:
     """(lexeme, page_id, block_index, places) of blocks (page_id, block_index, text). Places count all words, stop words too,
     from 1; a block without words has no rows.
     """
-    tokens = blocks.select("page_id", "block_index", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("at", "word"))
-    tokens = tokens.where(~F.col("word").isin(sorted(fts.STOP)))
-    named = tokens.join(stems(tokens), "word")
-    return named.groupBy("lexeme", "page_id", "block_index").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("places"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
+    tokens = blocks.select(F.col("page_id").cast("long").alias("page_id"), F.col("block_index").cast("int").alias("block_index"), words.alias("words"))
+    return tokens.mapInArrow(placed, "lexeme string, page_id long, block_index int, places array<int>")
 
 
 def _bucket(lexeme: Column) -> Column:
@@ -45,8 +69,10 @@ def _bucket(lexeme: Column) -> Column:
 
 
 def store(blocks: DataFrame, folder: str) -> None:
-    """Writes the index of blocks, by buckets of lexemes, each sorted by lexeme."""
-    out = postings(blocks).withColumn("bucket", _bucket(F.col("lexeme"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme")
+    """Writes the index of blocks, by buckets of lexemes. Each task writes its blocks' part of every bucket, sorted by lexeme,
+    so nothing is shuffled; a block has to be in one row.
+    """
+    out = postings(blocks).withColumn("bucket", _bucket(F.col("lexeme"))).sortWithinPartitions("bucket", "lexeme")
     out.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 

@@ -125,3 +125,18 @@ def test_closures_of_random_trees_equal_a_walk(spark):
     got = {x.page_id: x.access for x in predicates.readable(tree, spark.createDataFrame(list(acl.items()), ACL)).collect()}
     assert got == {i: a for i in parent if (a := access(i)) not in (None, "none")}
     assert predicates.readable(tree.limit(0), spark.createDataFrame([], ACL)).count() == 0
+
+
+def test_index_is_built_without_a_shuffle(spark):
+    plan = lx.postings(spark.createDataFrame(made_blocks(3, 30), BLOCK))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_stems_stay_after_more_words_than_a_task_keeps(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lx, "ROWS", 2)
+    monkeypatch.setattr(lx, "WORDS", 1)
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([0, 0, 0, 0], pa.int32()), pa.array([["plans", "the", "plan"], None, [], ["the", "rows", "plan", "row"]], pa.list_(pa.string()))], ["page_id", "block_index", "words"])
+    got = [r for out in lx.placed(iter([b])) for r in out.to_pylist()]
+    assert sorted((r["lexeme"], r["page_id"], r["places"]) for r in got) == [("plan", 1, [1, 3]), ("plan", 4, [3]), ("row", 4, [2, 4])]
