@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,29 +23,32 @@ def louvain(n: int, edges: Sequence[tuple[int, int, float]]) -> list[int]:
     Nodes are visited in order and move to the neighbouring community of the largest gain, the lowest of equal ones,
     if it beats staying by GAIN; levels are folded until nothing joins.
     """
-    links: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
-    loops = [0.0] * n
-    for a, b, w in edges:
-        if a == b:
-            loops[a] += w
-        else:
-            links[a][b] += w
-            links[b][a] += w
-    member = list(range(n))
+    rows = np.array(edges, np.float64).reshape(-1, 3)
+    return louvain_of(n, rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64), rows[:, 2]).tolist()
+
+
+def louvain_of(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """louvain() of edges as three arrays; links are held as such, 16 bytes for each end of an edge."""
+    loop = a == b
+    loops = np.bincount(a[loop], w[loop], n)
+    a, b, w = a[~loop], b[~loop], w[~loop]
+    starts, ends, weights = adjacent(n, np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]))
+    member, size = np.arange(n), n
     while True:
-        size = len(links)
-        degree = [sum(links[i].values()) + 2 * loops[i] for i in range(size)]
+        source = np.repeat(np.arange(size), np.diff(starts))
+        degree = (np.bincount(source, weights, size) + 2 * loops).tolist()
         whole = sum(degree)
         if whole <= 0:
             return member
-        home, total = list(range(size)), degree[:]
+        home, total, at = list(range(size)), degree[:], starts.tolist()
         moved = True
         while moved:
             moved = False
             for i in range(size):
-                to: dict[int, float] = defaultdict(float)
-                for j, w in links[i].items():
-                    to[home[j]] += w
+                to: dict[int, float] = {}
+                for j, x in zip(ends[at[i] : at[i + 1]].tolist(), weights[at[i] : at[i + 1]].tolist(), strict=True):
+                    c = home[j]
+                    to[c] = to.get(c, 0.0) + x
                 own = home[i]
                 total[own] -= degree[i]
                 best, gain = own, to.get(own, 0.0) - total[own] * degree[i] / whole
@@ -55,37 +59,40 @@ def louvain(n: int, edges: Sequence[tuple[int, int, float]]) -> list[int]:
                 total[best] += degree[i]
                 if best != own:
                     home[i], moved = best, True
-        names: dict[int, int] = {}
-        for c in home:
-            names.setdefault(c, len(names))
-        member = [names[home[m]] for m in member]
-        if len(names) in (size, 1):
+        _, first, of = np.unique(np.array(home), return_index=True, return_inverse=True)
+        named = np.argsort(np.argsort(first))[of]  # by first appearance
+        member, found = named[member], len(first)
+        if found in (size, 1):
             return member
-        folded: list[dict[int, float]] = [defaultdict(float) for _ in names]
-        inner = [0.0] * len(names)
-        for i in range(size):
-            a = names[home[i]]
-            inner[a] += loops[i]
-            for j, w in links[i].items():
-                b = names[home[j]]
-                if a != b:
-                    folded[a][b] += w
-                elif i < j:
-                    inner[a] += w
-        links, loops = folded, inner
+        x, y = named[source], named[ends]
+        inner = (x == y) & (source < ends)
+        loops = np.bincount(named, loops, found) + np.bincount(x[inner], weights[inner], found)
+        starts, ends, weights = adjacent(found, x[x != y], y[x != y], weights[x != y])
+        size = found
 
 
-def partition(pairs: DataFrame) -> DataFrame:
-    """ws, name, community from (ws, a, b, weight): one task a workspace, whose graph has to fit a worker."""
+def adjacent(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each node's links start, their ends and weights; links with the same ends are one."""
+    key, of = np.unique(a * max(1, n) + b, return_inverse=True)
+    return np.searchsorted(key, np.arange(n + 1) * max(1, n)), key % max(1, n), np.bincount(of, w, len(key))
 
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*p["a"], *p["b"]})
-        at = {x: i for i, x in enumerate(names)}
-        rows = p.sort_values(["a", "b"])
-        got = louvain(len(names), [(at[a], at[b], w) for a, b, w in zip(rows["a"], rows["b"], rows["weight"], strict=True)])
-        return pd.DataFrame({"ws": key[0], "name": names, "community": got})
 
-    return pairs.groupBy("ws").applyInPandas(run, "ws string, name string, community int")
+def partition(pairs: DataFrame) -> DataFrame:
+    """ws, name, community from (ws, a, b, weight): one task a workspace, whose graph has to fit a worker as Arrow columns and
+    arrays of numbers."""
+
+    def run(p: pa.Table) -> pa.Table:
+        n = p.num_rows
+        ends = pa.chunked_array([*p["a"].chunks, *p["b"].chunks], pa.string()).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(ends.dictionary).to_numpy()
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        at = at[ends.indices.to_numpy()]
+        got = louvain_of(len(order), at[:n], at[n:], p["weight"].to_numpy())
+        ws = pa.repeat(p["ws"][0], len(order)) if n else pa.array([], pa.string())
+        return pa.table({"ws": ws, "name": ends.dictionary.take(pa.array(order)), "community": pa.array(got, pa.int32())})
+
+    return pairs.select("ws", "a", "b", "weight").groupBy("ws").applyInArrow(run, "ws string, name string, community int")
 
 
 def modularity(pairs: DataFrame, members: DataFrame) -> DataFrame:

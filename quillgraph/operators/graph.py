@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import ALNUM_EDGES, is_plausible_entity, normalised_entity, words
 from quillgraph.operators.predicates import live
-from quillgraph.plans.settle import settled
+from quillgraph.plans.settle import written
 
 MAX_HOPS = 2
 RRF, DECAY = 60, 0.5
@@ -31,13 +31,13 @@ def edges(pages: DataFrame) -> DataFrame:
     """ws, source, target, hash, weight: neighbours in the chunk's list of names, once for each chunk.
 
     Each name is judged and normalised once, and not as the end of one edge and the beginning of the next. Chunks on many
-    pages meet in the last distinct, which keeps one edge of each before it sends any.
+    pages have the same names, so chunks meet as one row each, and only what is left of them is spread to edges.
     """
     keys = F.transform("names", lambda n: F.when(is_plausible_entity(n), normalised_entity(n)))
-    keyed = extracted(pages).where(F.size("names") >= 2).select("ws", "hash", keys.alias("keys"))
-    pairs = keyed.select("ws", "hash", F.explode(F.arrays_zip(F.col("keys").alias("s"), F.slice("keys", F.lit(2), F.size("keys")).alias("t"))).alias("e"))
-    pairs = pairs.where(F.col("e.s").isNotNull() & F.col("e.t").isNotNull())
-    return pairs.select("ws", F.col("e.s").alias("source"), F.col("e.t").alias("target"), "hash").distinct().withColumn("weight", F.lit(1.0))
+    keyed = extracted(pages).where(F.size("names") >= 2).select("ws", "hash", keys.alias("keys")).dropDuplicates(["ws", "hash"])
+    pairs = F.arrays_zip(F.col("keys").alias("s"), F.slice("keys", F.lit(2), F.size("keys")).alias("t"))
+    pairs = keyed.select("ws", "hash", F.explode(F.array_distinct(pairs)).alias("e")).where(F.col("e.s").isNotNull() & F.col("e.t").isNotNull())
+    return pairs.select("ws", F.col("e.s").alias("source"), F.col("e.t").alias("target"), "hash").withColumn("weight", F.lit(1.0))
 
 
 def clusterable(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -45,6 +45,11 @@ def clusterable(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return edges.join(live(pages).select("ws", "hash").distinct(), ["ws", "hash"], "left_semi")
 
 
+def clusterable_of(pages: DataFrame) -> DataFrame:
+    """clusterable() of all edges of pages: a chunk is on a live page if a live page has it, so these are the live pages' edges."""
+    return edges(live(pages).where(F.col("ws").isNotNull())).select("ws", "hash", "source", "target", "weight")
+
+
 def pair_weights(edges: DataFrame) -> DataFrame:
     return edges.groupBy("ws", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("weight"))
 
@@ -84,7 +89,7 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     Edges go both ways by a union, not by an OR in the join. After each hop an entity keeps its widest bottleneck for
     each seed rank, which no longer path can better, so there are no more rows than entities times ranks.
     """
-    e = settled(edges.select("ws", "source", "target", "hash", "weight"))
+    e = written(edges.select("ws", "source", "target", "hash", "weight"))
     both = e.unionByName(e.select("ws", F.col("target").alias("source"), F.col("source").alias("target"), "hash", "weight"))
     seeds = seeds.groupBy("ws", "hash").agg(F.min("rank").alias("rank"))
     ends = e.join(seeds, ["ws", "hash"]).select("ws", F.explode(F.array("source", "target")).alias("name"), "rank")

@@ -117,7 +117,7 @@ def drain(step: Callable[[], int], stalled: int = STALLED) -> int:
 
 def full_run(pages: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Members of the new communities, and these by member hash, with what known has of those that survive."""
-    members = communities.partition(graph.pair_weights(graph.clusterable(graph.edges(pages), pages)))
+    members = communities.partition(graph.pair_weights(graph.clusterable_of(pages)))
     new = communities.member_hashes(members)
     return members, new if known is None else communities.swapped(known, new)
 

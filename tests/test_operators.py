@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,29 @@ def test_seeds_are_all_chunks_of_the_pages_found(spark):
     hits = spark.createDataFrame([(7, 0.2, False), (4, 0.5, False), (9, 0.2, True)], "page_id long, score double, lexical boolean")
     pages = spark.createDataFrame([(4, "w", "a"), (4, "w", "b"), (7, "w", "c"), (9, "v", "d"), (1, "w", "e")], "page_id long, ws string, hash string")
     assert {tuple(r) for r in graph.seeds_from_pages(hits, pages).collect()} == {("w", "a", 1), ("w", "b", 1), ("v", "d", 2), ("w", "c", 3)}
+
+
+def test_clusterable_edges_of_pages_are_those_of_their_live_ones_and_take_one_shuffle(spark):
+    rows = [(1, "w", "Ann Bob Ann Bob Cy", "h1", False), (2, "w", "Ann Bob Ann Bob Cy", "h1", True), (3, "w", "Dee Eve", "h2", True), (4, None, "Fay Gus", "h3", False), (5, "v", "Dee Eve", "h2", False), (6, "w", None, None, False), (7, "v", "Dee, Eve", "h4", False)]
+    p = spark.createDataFrame(rows, "page_id long, ws string, text string, hash string, archived boolean")
+    got = gr.clusterable_of(p)
+    assert sorted(got.collect()) == sorted(gr.clusterable(gr.edges(p), p).collect())
+    assert sorted((r.ws, r.source, r.target) for r in got.collect()) == [("v", "dee", "eve"), ("v", "dee", "eve"), ("w", "ann", "bob"), ("w", "bob", "ann"), ("w", "bob", "cy")]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_partition_by_workspace_is_louvain_of_its_names_in_order(spark):
+    r = random.Random(3)
+    pairs = sorted({(ws, *sorted(r.sample("äabcdefghijklmnopéz𝒳", 2))) for ws in "vw" for _ in range(40)})
+    got = cm.partition(spark.createDataFrame([(ws, a, b, 1.0) for ws, a, b in pairs], "ws string, a string, b string, weight double").repartition(3)).collect()
+    for ws in "vw":
+        mine = [(a, b) for w, a, b in pairs if w == ws]
+        names = sorted({x for p in mine for x in p})
+        want = cm.louvain(len(names), [(names.index(a), names.index(b), 1.0) for a, b in mine])
+        assert {r.name: r.community for r in got if r.ws == ws} == dict(zip(names, want, strict=True))
+
+
+def test_louvain_takes_equal_ends_and_loops_together():
+    edges = [(0, 1, 1.0), (1, 0, 1.0), (2, 2, 3.0), (2, 3, 1.0), (1, 2, 0.5)]
+    assert cm.louvain(4, edges) == cm.louvain(4, [(0, 1, 2.0), (1, 2, 0.5), (2, 2, 3.0), (2, 3, 1.0)])
+    assert cm.louvain_of(2, *(np.array(x) for x in ([0], [1], [1.0]))).tolist() == [0, 0]
