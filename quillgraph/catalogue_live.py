@@ -15,7 +15,7 @@ from quillgraph.operators import extraction, materialise
 from quillgraph.operators import graph as gr
 from quillgraph.operators import summaries as su
 from quillgraph.plans import oracle as o
-from quillgraph.plans.settle import settled, shared_folder
+from quillgraph.plans.settle import settled, shared_folder, written
 from quillgraph.sources import tables as t
 from quillgraph.sources.store import Keyed
 from quillgraph.streaming import hub, log, partition
@@ -66,7 +66,7 @@ def stream_communities(s, d):
 
 def _communities(s: SparkSession, d: str) -> tuple[str, partition.Communities]:
     folder = _folder(s, "communities")
-    edges = settled(_clusterable(s, d).withColumn("place", F.conv(F.substring("hash", 1, 12), 16, 10).cast("long")))
+    edges = written(_clusterable(s, d).withColumn("place", F.conv(F.substring("hash", 1, 12), 16, 10).cast("long")))
     sink = partition.Communities(f"{folder}/kept", lambda spark, n: spark.read.schema(edges.schema).parquet(f"{folder}/edges"), 0.5)
     h = F.col("hash")
     for part in (h < PARTS[0], (h >= PARTS[0]) & (h < PARTS[1]), h >= PARTS[1]):

@@ -8,6 +8,7 @@ once, however often it is run.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import communities, graph, queues
-from quillgraph.plans.settle import settled
+from quillgraph.plans.settle import settled, written
 
 CHURN, MEMBERS, RUNS = "ws string, changed long", "ws string, name string, community int", "ws string, at timestamp"
 
@@ -101,19 +102,24 @@ class Communities:
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark, folder = batch.sparkSession, self.folder
-        changes = settled(batch.select("ws", "source", "target", "place"))
+        changes = written(batch.select("ws", "source", "target", "place"))
         edges = self.graph(spark, number)
-        hot = moved(edges, touched(changes), members(spark, folder, number))
         before = churn(spark, folder, number).select("ws", "changed")
         new = changes.groupBy("ws").agg(F.count(F.lit(1)).alias("changed"))
         _write(new, f"{folder}/churn", number)
         sums = before.unionByName(new).groupBy("ws").agg(F.sum("changed").alias("changed")).join(new.select("ws"), "ws", "left_semi")
-        counts = graph.pair_weights(edges.join(new.select("ws"), "ws", "left_semi")).groupBy("ws").agg(F.count(F.lit(1)).alias("edges"))
+        pairs = written(graph.pair_weights(edges.join(F.broadcast(new.select("ws")), "ws", "left_semi")))
+        counts = pairs.groupBy("ws").agg(F.count(F.lit(1)).alias("edges"))
         # a workspace that is left without edges is due with any change, as its share of nothing is nothing
         due = settled(queues.churn_due(sums, sums.select("ws").join(counts, "ws", "left").fillna(0, ["edges"]), self.share).where("due").select("ws"))
         # the ws that run in full get nothing from the quick way: the full partition takes its place
-        full = communities.partition(graph.pair_weights(edges.join(due, "ws", "left_semi")))
-        _write(hot.join(due, "ws", "left_anti").unionByName(full), f"{folder}/members", number)
+        full = communities.partition(pairs.join(F.broadcast(due), "ws", "left_semi"))
+        home = members(spark, folder, number)
+        # and where nobody is in a community yet, there is none to join
+        quick = settled(home.select("ws").distinct().join(due, "ws", "left_anti").join(new.select("ws"), "ws", "left_semi"))
+        of = lambda df: df.join(F.broadcast(quick), "ws", "left_semi")
+        hot = [] if quick.isEmpty() else [moved(of(edges), touched(of(changes)), of(home))]
+        _write(reduce(DataFrame.unionByName, hot, full), f"{folder}/members", number)
         _write(due.select("ws", (F.current_timestamp() if self.now is None else F.lit(self.now()).cast("timestamp")).alias("at")), f"{folder}/runs", number)
 
 

@@ -267,3 +267,18 @@ def test_moves_need_a_clustered_neighbour(spark):
     home = spark.createDataFrame([("w", "a", 5)], partition.MEMBERS)
     assert {(r.name, r.community) for r in partition.moved(edges, touched, home).collect()} == {("b", 5), ("c", 5)}
     assert graph.neighbour_weights(edges).count() == 6
+
+
+def test_workspaces_without_members_or_due_in_full_take_no_quick_way(spark, tmp_path, monkeypatch):
+    schema = "ws string, source string, target string, weight double, place long"
+    first, more = [("w", "a", "b", 1.0, 0), ("w", "b", "c", 1.0, 1)], [("v", "x", "y", 1.0, 2), ("w", "d", "a", 1.0, 3)]
+    sink = partition.Communities(str(tmp_path), lambda s, n: s.createDataFrame(first + more * n, schema), 0.5)
+    quick = []
+    moved = partition.moved
+    monkeypatch.setattr(partition, "moved", lambda edges, touched, home: quick.append({r.ws for r in touched.collect()}) or moved(edges, touched, home))
+    sink(spark.createDataFrame(first, schema), 0)
+    assert quick == []
+    sink(spark.createDataFrame(more, schema), 1)
+    assert quick == [{"w"}]
+    found = {(r.ws, r.name): r.community for r in partition.members(spark, str(tmp_path)).collect()}
+    assert found["w", "d"] == found["w", "a"] and found["v", "x"] == found["v", "y"] and len(found) == 6
