@@ -151,7 +151,9 @@ def extraction_changes(s, d):
 
 
 def _applied(s: SparkSession, d: str) -> extraction.ChangeSet:
-    good, _ = wire.extractions(_answers(s, d), "raw")
+    # few bytes and much work a row: dealt to all cores, and read as JSON once for all that is made of it
+    answers = _answers(s, d).repartition(max(s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions"))), "hash")
+    good = written(wire.extractions(answers, "raw")[0])
     none = s.createDataFrame([], "ws string, name string, entity_type string, description string")
     edges = s.createDataFrame([], "ws string, source string, target string, relation string, hash string, model string, weight double")
     return extraction.applied(none, edges, good)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +100,21 @@ def read(df: DataFrame, raw: str, fields: Mapping[str, str]) -> tuple[DataFrame,
     return good, v.where(F.col("fault").isNotNull()).drop("__v")
 
 
+def _columns(fields: Mapping[str, str]) -> str:
+    return ", ".join(f"{name} {'double' if want == 'number' else 'string'}" for name, want in fields.items())
+
+
+def _alike(kinds: Column, read: Column, fields: Mapping[str, str]) -> Column:
+    """True for a list whose items all have these fields and no others, as the kinds of the whole list and what was read of it
+    show; else the items have to be looked at one by one. Kinds of a list pass over what an item lacks or has as null.
+    """
+    number = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+, ?\d+\))"
+    of = {"number": number, "string": "STRING", "string?": "(STRING|VOID)"}
+    parts = [f"({name}: {of[want]}, )" + ("?" if want == "string?" else "") for name, want in sorted(fields.items())]
+    there = lambda e: reduce(and_, [e[n].isNotNull() & (F.abs(e[n]) < float("inf") if want == "number" else F.lit(True)) for n, want in fields.items() if want != "string?"])
+    return F.regexp_replace(kinds, ">>$", ", >>").rlike(f"^ARRAY<OBJECT<{''.join(parts)}>>$") & F.forall(read, lambda e: F.coalesce(there(e), F.lit(False)))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, EDGES_OF_TEXT, "")
 
@@ -109,15 +126,16 @@ def extractions(df: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
     are left out, texts are trimmed, blank descriptions are none, and weights are held between 0 and 1.
     """
     listed = lambda name: F.coalesce(kind(F.col("__v"), f"$.{name}").isNull() | kind(F.col("__v"), f"$.{name}").startswith("ARRAY"), F.lit(False))
-    of = lambda name: F.coalesce(items(F.col("__v"), f"$.{name}"), F.array().cast("array<variant>"))
+    of = lambda name, fields: F.coalesce(F.try_variant_get("__v", f"$.{name}", f"array<struct<{_columns(fields)}>>"), F.array().cast(f"array<struct<{_columns(fields)}>>"))
+    each = lambda name, fields: F.forall(F.coalesce(items(F.col("__v"), f"$.{name}"), F.array().cast("array<variant>")), lambda x: accepts(x, fields))
     x = _once(df, __v=parsed(F.col(raw)))
     whole = F.coalesce(kind(F.col("__v")).startswith("OBJECT"), F.lit(False)) & listed("entities") & listed("edges")
-    x = _once(x, __whole=whole, __entities=of("entities"), __edges=of("edges"))
-    fit = F.forall("__entities", lambda e: accepts(e, ENTITY)) & F.forall("__edges", lambda e: accepts(e, EDGE))
-    x = _once(x, __ok=F.col("__whole") & fit)
-    named = F.filter(F.transform("__entities", lambda e: record(e, ENTITY)), lambda e: is_plausible_entity(e["name"]))
+    x = _once(x, __whole=whole, __entities=of("entities", ENTITY), __edges=of("edges", EDGE))
+    fit = lambda name, fields: F.when(_alike(kind(F.col("__v"), f"$.{name}"), F.col(f"__{name}"), fields), True).otherwise(each(name, fields))
+    x = _once(x, __ok=F.col("__whole") & fit("entities", ENTITY) & fit("edges", EDGE))
+    named = F.filter("__entities", lambda e: is_plausible_entity(e["name"]))
     entities = F.transform(named, lambda e: F.struct(trimmed(e["name"]).alias("name"), trimmed(e["entity_type"]).alias("entity_type"), F.when(trimmed(e["description"]) != "", e["description"]).alias("description")))
-    linked = F.filter(F.transform("__edges", lambda e: record(e, EDGE)), lambda e: is_plausible_entity(e["source"]) & is_plausible_entity(e["target"]))
+    linked = F.filter("__edges", lambda e: is_plausible_entity(e["source"]) & is_plausible_entity(e["target"]))
     edges = F.transform(linked, lambda e: F.struct(*[trimmed(e[n]).alias(n) for n in ("source", "target", "relation")], F.greatest(F.lit(0.0), F.least(F.lit(1.0), e["weight"])).alias("weight")))
     good = _once(x.where("__ok"), entities=entities, edges=edges).select(*df.columns, "entities", "edges")
     return good, x.where("NOT __ok").select(*df.columns)

@@ -267,3 +267,21 @@ def test_workspaces_wait_by_age(spark):
     v = spark.createDataFrame([("d", 1, "d"), ("c", 1, "was")], "ws string, community int, summary string").select("ws", "community", F.md5("summary").alias("summary_hash"))
     assert [r.ws for r in su.workspaces_to_embed(c, s, v, "m", 2).collect()] == ["b", "c"]
     assert [r.ws for r in su.workspaces_to_embed(c, s, v, "other", 2).collect()] == []
+
+
+def test_answers_are_taken_and_refused_item_by_item_and_read_once(spark, sf):
+    from quillgraph import catalogue_live as cl
+    from quillgraph.functions import wire
+
+    e, bare = '{"name":"Ann","entity_type":"P","description":" x "}', '{"name":"Bob","entity_type":"P"}'
+    edge = lambda w: f'{{"source":"Ann","target":"Bob","relation":"r","weight":{w}}}'
+    raw = {
+        f'{{"entities":[{e},{bare}],"edges":[{edge(1)},{edge(0.25)}]}}': (2, [1.0, 0.25]), f'{{"entities":[{bare}],"edges":[{edge(7)}]}}': (1, [1.0]), '{}': (0, []), '{"entities":[],"edges":[]}': (0, []),
+        f'{{"entities":[{e},{{"name":"Cy"}}]}}': None, f'{{"entities":[{e},{{"name":null,"entity_type":"P"}}]}}': None, f'{{"entities":[{e},null]}}': None, f'{{"entities":[{e},5]}}': None, f'{{"entities":[{bare},{{"name":5,"entity_type":"P"}}]}}': None,
+        f'{{"entities":[{bare},{{"name":"Cy","entity_type":"P","description":null,"more":[1]}}]}}': (2, []), f'{{"edges":[{edge(1)},{edge("null")}]}}': None, f'{{"edges":[{edge(1)},{edge(chr(34) + "1" + chr(34))}]}}': None, f'{{"edges":[{edge(1)},{edge("1e999")}]}}': None, f'{{"edges":{edge(1)}}}': None,
+    }
+    df = spark.createDataFrame([(x,) for x in raw], "raw string")
+    good, bad = wire.extractions(df, "raw")
+    assert {r.raw: (len(r.entities), [x.weight for x in r.edges]) for r in good.collect()} == {x: want for x, want in raw.items() if want is not None}
+    assert {r.raw for r in bad.collect()} == {x for x, want in raw.items() if want is None}
+    assert "parse_json" not in cl.extraction_changes(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
