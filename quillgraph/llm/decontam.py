@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages, whose runs of words are looked up in every document as they stand; a distributed randomised SVD of the TF-IDF matrix of these and of a sample of
-corpus passages gives a latent space. Windows of every document are projected into it; those with a cosine of COSINE
+Benchmark items are cut into passages, whose runs of words are looked up in every document as they stand; a distributed
+randomised SVD of the TF-IDF matrix of all passages, with document frequencies of all documents, gives a latent space, that
+of the collection which is searched. Windows of every document are projected into it; those with a cosine of COSINE
 or more to a passage are candidates, too, and the longest common subsequence of words, together with the passage's rarest
 words (its answer, as far as a bare text has one), decides.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from quillgraph.llm.common import mixed, table
 
 WORDS = re.compile(r"\w+")
-#: Words of a passage, dimensions of the latent space, documents sampled for it.
-PASSAGE, RANK, SAMPLE = 64, 192, 500
+#: Words of a passage, dimensions of the latent space.
+PASSAGE, RANK = 64, 192
 #: Items handled at once; a larger benchmark is gone through in blocks, each over all documents.
 ITEMS = 20_000
 COSINE = 0.4
@@ -36,15 +37,25 @@ SHORT = 8
 PIECE = 4096
 #: Windows by words that are marked at once.
 CELLS = 1 << 22
-#: Words of texts that are looked through together, and rows and columns of one matrix product.
-GROUP, TILE = 131_072, 32
+#: Words of texts that are looked through together, and passages of one matrix product.
+GROUP, TILE = 131_072, 1024
 #: Dimensions that the range of the matrix is sought with beyond RANK.
 OVERSAMPLE = 8
 HITS = "array<struct<item_id:bigint,overlap:double,start:int>>"
 
 
+#: Of Latin-1, by byte, the lower letter, and a blank for what is in no word.
+LOWER = bytes(ord(chr(i).lower()) if WORDS.match(chr(i).lower()) else 32 for i in range(256))
+
+
 def tokens(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """WORDS of the lower-cased text; one of Latin-1 alone, where each letter has one lower one, is split by bytes."""
+    if not text:
+        return []
+    try:
+        return text.encode("latin-1").translate(LOWER).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORDS.findall(text.lower())
 
 
 def passages_of(words: list[str]) -> list[list[str]]:
@@ -176,7 +187,7 @@ class Index:
             half, start = int(length.max()) // 2, laid.starts(scale)
             # what is known around a window is no less than what a subsequence could have
             start = start[known[np.minimum(start + scale + half, end)] - known[np.maximum(start - half, 0)] >= PARTLY * length.min()]
-            plans.append((scale, of_scale, length, half, start, tiles(self.units[of_scale].T)))
+            plans.append((scale, of_scale, length, half, start, [np.ascontiguousarray(self.units[of_scale[i : i + TILE]].T) for i in range(0, len(of_scale), TILE)]))
         for c in range(0, end, PIECE):
             sums, step = None, 0
             for scale, of_scale, length, half, starts, units in plans:
@@ -192,8 +203,6 @@ class Index:
                 x = self.images(at, start, scale, c, sums)
                 far = COSINE * (np.sqrt(np.einsum("ij,ij->i", x, x)) + 1e-12)
                 w, k, dot = multiplied(x, units, far)
-                keep = k < len(of_scale)
-                w, k, dot = w[keep], k[keep], dot[keep]
                 if len(w):
                     enough = self.words_there(at, start, w, of_scale[k], scale, half) >= PARTLY * length[k]
                     w, k, dot = w[enough], k[enough], dot[enough]
@@ -223,13 +232,9 @@ class Index:
     def images(self, at: np.ndarray, start: np.ndarray, scale: int, c: int, sums: np.ndarray) -> np.ndarray:
         """The windows of scale words from each start in the latent space; sums are of a quarter of it each, from c on."""
         step = scale // 4
-        on_grid = start % step == 0
-        out = np.empty((len(start), self.latent.shape[1]), np.float32)
-        whole = sums[:-3] + sums[1:-2]
-        whole += sums[2:-1]
-        whole += sums[3:]
-        out[on_grid] = whole[(start[on_grid] - c) // step]
-        off = np.flatnonzero(~on_grid)
+        half = sums[:-1] + sums[1:]
+        out = (half[:-2] + half[2:])[(start - c) // step]
+        off = np.flatnonzero(start % step)
         for i in range(0, len(off), 64):
             out[off[i : i + 64]] = self.latent[at[start[off[i : i + 64], None] + np.arange(scale)]].sum(axis=1)
         return out
@@ -266,26 +271,19 @@ class Laid:
         return np.sort(np.concatenate([grid[(within + scale <= self.n[doc]) | (within == 0)], last]))
 
 
-def tiles(units: np.ndarray) -> np.ndarray:
-    """The columns by TILE, zeros behind the last."""
-    rank, n = units.shape
-    out = np.zeros((rank, -(-n // TILE) * TILE), np.float32)
-    out[:, :n] = units
-    return np.ascontiguousarray(out.reshape(rank, -1, TILE).transpose(1, 0, 2))
-
-
-def multiplied(x: np.ndarray, units: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of x (ascending), column and product where it is no less than far of the row.
+def multiplied(x: np.ndarray, units: list[np.ndarray], far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of x (ascending), column of units, TILE of them in each, and product where it is no less than far of the row.
 
-    Multiplied tile by tile: a product that small stays in one thread, and those that wait for more take CPU time.
+    Spark's workers have one thread for a product, so one over all rows takes the least CPU time.
     """
-    rows = np.pad(x, ((0, -len(x) % TILE), (0, 0))).reshape(-1, TILE, x.shape[1])
-    least = np.pad(far, (0, -len(x) % TILE), constant_values=np.inf).reshape(-1, TILE)
     found = []
     for b, unit in enumerate(units):
-        product = rows @ unit
-        i, r, k = np.nonzero(product >= least[:, :, None])
-        found.append((i * TILE + r, b * TILE + k, product[i, r, k]))
+        product = x @ unit
+        at = np.flatnonzero(product >= far[:, None])
+        w, k = np.divmod(at, unit.shape[1])
+        found.append((w, b * TILE + k, product.ravel()[at]))
+    if len(found) == 1:
+        return found[0]
     w, k, dot = (np.concatenate(v) for v in zip(*found, strict=True))
     order = np.argsort(w, kind="stable")
     return w[order], k[order], dot[order]
@@ -394,9 +392,7 @@ def build(docs: DataFrame, benchmark: DataFrame) -> Index:
     idf = np.log(1 + (n + 1) / (df + 1))
     idf[0] = 0
     rank = max(1, min(RANK, len(cut), len(words)))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("latent")), F.lit(1 << 30)) / float(1 << 30)
-    matrix = benchmark.select("text", F.lit(1.0).alias("weight")).unionByName(docs.where(draw < SAMPLE / max(1, n)).select("text", F.lit(0.2).alias("weight")))
-    latent = basis(spark, matrix, words, idf, rank) * idf[:, None]
+    latent = basis(spark, benchmark.select("text", F.lit(1.0).alias("weight")), words, idf, rank) * idf[:, None]
     latent[0] = 0
     latent = latent.astype(np.float32)
     at = [np.array([words[w] for w in p], np.int64) for _, p in cut]

@@ -308,6 +308,16 @@ def test_leaks_are_found_whatever_the_number_of_documents(spark, monkeypatch):
     assert got == {i: [i] for i, _ in items}
 
 
+def test_space_is_of_the_whole_benchmark_and_words_are_split_as_by_the_pattern(spark, sf):
+    """Whatever the ids of documents, as no sample of these is drawn by them."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").limit(300)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    x, y = (decontam.build(docs.withColumn("doc_id", F.col("doc_id") + k), bench).units for k in (0, 7))
+    assert np.abs(x @ x.T - y @ y.T).max() < 1e-3
+    for t in ("".join(map(chr, range(1, 256))) * 2, "\u00c9T\u00c9 \u00b5_1 \u00aa\u00b2\u00bd\u00a0x\x1cy\x85z", "\u0130 \u03a3\u03a3 Stra\u00dfe\u2019s", *[r.text for r in docs.limit(200).collect() if r.text]):
+        assert decontam.tokens(t) == decontam.WORDS.findall(t.lower())
+
+
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path, sf):
     r = random.Random(8)
     bench = {x.item_id: x.text for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
