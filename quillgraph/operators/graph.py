@@ -83,6 +83,11 @@ def seeds_from_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(ranked, "page_id").select("ws", "hash", "rank")
 
 
+def sent_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than that. df is written, and narrow."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def walk(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """ws, hash, hops, score: the best evidence of each chunk within so many hops of the seeds (ws, hash, rank).
 
@@ -96,9 +101,11 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     at = ends.groupBy("ws", "name").agg(F.min("rank").alias("rank")).withColumn("width", F.lit(1.0))
     found = seeds.select("ws", "hash", F.lit(0).alias("hops"), (1 / (F.lit(float(RRF)) + F.col("rank"))).alias("score"))
     for hop in range(1, hops + 1):
-        step = both.join(at.withColumnRenamed("name", "source"), ["ws", "source"]).withColumn("width", F.least("width", "weight"))
+        # what the seeds reach first is small, and goes to the edges
+        step = both.join(sent_if_small(written(at)).withColumnRenamed("name", "source"), ["ws", "source"]).withColumn("width", F.least("width", "weight"))
         score = 1 / (F.lit(float(RRF)) + F.col("rank")) * DECAY**hop * F.col("width")
-        found = found.unionByName(step.select("ws", "hash", F.lit(hop).alias("hops"), score.alias("score")))
+        # a chunk's best of a hop, before rows for each edge and rank could be shuffled and sorted
+        found = found.unionByName(step.groupBy("ws", "hash").agg(F.max(score).alias("score")).select("ws", "hash", F.lit(hop).alias("hops"), "score"))
         at = step.groupBy("ws", F.col("target").alias("name"), "rank").agg(F.max("width").alias("width"))
     best = W.partitionBy("ws", "hash").orderBy(F.desc("score"), "hops")
     return found.withColumn("k", F.row_number().over(best)).where(F.col("k") == 1).drop("k")

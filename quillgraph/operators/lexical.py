@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ ROWS, WORDS = 500, 200_000
 POSTINGS = "lexeme string, page_id long, block_index int, places array<int>, bucket int"
 
 
-def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (page_id, block_index, words) -> (lexeme, page_id, block_index, places), some blocks at a time.
+def placed(batches: Iterator[pa.RecordBatch], only: Collection[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (page_id, block_index, words) -> (lexeme, page_id, block_index, places), some blocks at a time; of all
+    lexemes or of some only.
 
     Words are numbered, so that each is stemmed once, and a block's places never leave their row.
     """
@@ -43,9 +45,9 @@ def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in known:
                 if w not in stems:
                     stems[w] = fts.stem(w)
-            lexemes = list(dict.fromkeys(x for w in known if (x := stems[w]) is not None))
-            at = {x: i for i, x in enumerate(lexemes)} | {None: -1}
-            lexeme = np.array([at[stems[w]] for w in known], np.int64)[words.indices.to_numpy()]
+            lexemes = list(dict.fromkeys(x for w in known if (x := stems[w]) is not None and (only is None or x in only)))
+            at = {x: i for i, x in enumerate(lexemes)}
+            lexeme = np.array([at.get(stems[w], -1) for w in known], np.int64)[words.indices.to_numpy()]
             kept = np.flatnonzero(lexeme >= 0)
             kept = kept[np.argsort(lexeme[kept], kind="stable")]  # rows and places are in order already
             lexeme, row, place = lexeme[kept], row[kept], place[kept]
@@ -55,13 +57,13 @@ def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(lexemes, pa.string()).take(pa.array(lexeme[first])), b.column(0).take(of), b.column(1).take(of), places], ["lexeme", "page_id", "block_index", "places"])
 
 
-def postings(blocks: DataFrame) -> DataFrame:
-    """(lexeme, page_id, block_index, places) of blocks (page_id, block_index, text). Places count all words, stop words too,
-    from 1; a block without words has no rows.
+def postings(blocks: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """(lexeme, page_id, block_index, places) of blocks (page_id, block_index, text), of some lexemes only if these are given: one
+    question needs no stored index. Places count all words, stop words too, from 1; a block without words has no rows.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
     tokens = blocks.select(F.col("page_id").cast("long").alias("page_id"), F.col("block_index").cast("int").alias("block_index"), words.alias("words"))
-    return tokens.mapInArrow(placed, "lexeme string, page_id long, block_index int, places array<int>")
+    return tokens.mapInArrow(placed if only is None else partial(placed, only=frozenset(only)), "lexeme string, page_id long, block_index int, places array<int>")
 
 
 def _bucket(lexeme: Column) -> Column:

@@ -140,3 +140,18 @@ def test_stems_stay_after_more_words_than_a_task_keeps(spark, monkeypatch):
     b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([0, 0, 0, 0], pa.int32()), pa.array([["plans", "the", "plan"], None, [], ["the", "rows", "plan", "row"]], pa.list_(pa.string()))], ["page_id", "block_index", "words"])
     got = [r for out in lx.placed(iter([b])) for r in out.to_pylist()]
     assert sorted((r["lexeme"], r["page_id"], r["places"]) for r in got) == [("plan", 1, [1, 3]), ("plan", 4, [3]), ("row", 4, [2, 4])]
+
+
+def test_postings_of_some_lexemes_are_those_of_the_index(spark, tmp_path):
+    blocks = spark.createDataFrame(made_blocks(2, 90), BLOCK)
+    lx.store(blocks, str(tmp_path / "i"))
+    rows = lambda df: sorted((r.lexeme, r.page_id, r.block_index, tuple(r.places)) for r in df.collect())
+    assert rows(lx.postings(blocks, ["row", "nothing"])) == rows(lx.lookup(spark, str(tmp_path / "i"), ["row", "nothing"])) != []
+
+
+def test_local_answer_joins_all_texts_once(spark, sf, monkeypatch):
+    from quillgraph import catalogue
+
+    calls, plain = [], catalogue.t.pages
+    monkeypatch.setattr(catalogue.t, "pages", lambda *a: calls.append(a) or plain(*a))
+    assert catalogue.local_answer(spark, sf).count() == 1 and len(calls) == 1
