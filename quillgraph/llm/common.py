@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,20 @@ def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return out.coalesce(max(1, -(-out.count() // rows)))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Jobs that run within it pass no more than so many rows at once to Python. Rows with texts or whole sets have kilobytes
+    each, and both Spark's side and Python's hold a batch, outside the heap.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sent_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """df, marked for broadcast if it has no more rows than that; else left to a shuffled join. df is settled, and narrow."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WordHashes, compact, mixed, settle, table
+from quillgraph.llm.common import WordHashes, compact, mixed, settle, small_batches, table
 from quillgraph.llm.components import components
 
 K = 64
@@ -403,6 +403,11 @@ def rooted(pairs: DataFrame, roots: DataFrame, side: str) -> DataFrame:
 def grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     """doc_id, print (a hash of the text), n, root, top: a row for each row of docs. root is the same for all rows of a
     component, null for rows without shingles; top is the component's least doc_id."""
+    with small_batches(docs.sparkSession):  # all that runs Python is written in here
+        return _grouped(docs, size, least)
+
+
+def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
     schema = "doc_id long, print long, n long, sig binary, sketch array<bigint>"
     rows = settle(read.select("doc_id", "text", "print").mapInArrow(sketching(size), schema))
