@@ -21,14 +21,14 @@ from pyspark.sql import types as T
 
 from quillgraph.llm.common import crc_of, table
 
-#: The sample that the model is fitted on: about so many documents of each language, by hash.
-DOCS = 2_500
 #: The most frequent words kept of each language, and the most languages.
 WORDS, LANGUAGES = 20_000, 256
 LONGEST = 5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents scored together; bounds memory whatever the batch.
 BLOCK = 400
+#: Words that a task counts before it passes their counts on.
+COUNTED = 200_000
 
 
 @dataclass
@@ -120,24 +120,30 @@ class Scorer(dict):
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            counts[lang].update(letters(text))
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+    counts: dict[str, Counter] = defaultdict(Counter)
 
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        for lang, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
+        counts.clear()
 
-def fit(train: DataFrame, docs: int = DOCS, words: int = WORDS) -> Model:
-    """From text and lang of train; rows without a lang teach nothing. About docs rows a language are drawn by hash."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, BLOCK):
+            b = whole.slice(start, BLOCK)
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts[lang].update(letters(text))
+            if sum(map(len, counts.values())) > COUNTED:
+                yield from passed_on()
+    yield from passed_on()
+
+
+def fit(train: DataFrame, words: int = WORDS) -> Model:
+    """From text and lang of all rows of train; rows without a lang teach nothing."""
     train = train.where(F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return build({})
-    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs / n))])
-    sample = train.where(draw < share[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = train.where(F.col("lang").isin(list(sizes))).select("lang", "text").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = counts.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= words)
     got: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
     for r in top.select("lang", "word", "n").collect():

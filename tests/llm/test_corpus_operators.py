@@ -308,6 +308,34 @@ def test_leaks_are_found_whatever_the_number_of_documents(spark, monkeypatch):
     assert got == {i: [i] for i, _ in items}
 
 
+def test_language_models_count_every_document(spark):
+    rows = spark.range(6000).select(F.expr("concat('word', chr(97 + id % 7), chr(97 + id % 11), ' the')").alias("text"), F.expr("if(id % 2 = 0, 'en', 'de')").alias("lang"), F.col("id").alias("doc_id"))
+    counts = {"en": Counter(), "de": Counter()}
+    for x in rows.collect():
+        counts[x.lang].update(x.text.split())
+    got, want = langid.fit(rows), langid.build(counts)
+    assert got.words == want.words and np.allclose(got.scores, want.scores)
+
+
+def test_near_duplicates_pass_few_rows_at_once_to_python(spark, monkeypatch):
+    plain = neardup.sketching
+
+    def checked(size):
+        run = plain(size)
+
+        def few(b):
+            assert b.num_rows <= 1000
+            return b
+
+        return lambda batches: run(map(few, batches))
+
+    monkeypatch.setattr(neardup, "sketching", checked)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("concat('w', id, ' x y')").alias("text")).coalesce(1)
+    assert neardup.groups(docs).where("kept").count() == 3000 and spark.conf.get(key) == before
+
+
 def test_space_is_of_the_whole_benchmark_and_words_are_split_as_by_the_pattern(spark, sf):
     """Whatever the ids of documents, as no sample of these is drawn by them."""
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").limit(300)
