@@ -101,6 +101,7 @@ class Index:
     latent: np.ndarray  # by word, idf times basis; a row of zeros for 0
     items: list[int]  # by passage
     passages: list[list[str]]
+    places: list[dict[str, int]]  # places_of each
     answers: list[set[str]]
     units: np.ndarray  # images of length 1
     scales: np.ndarray
@@ -151,9 +152,9 @@ class Index:
                 good = share == 1.0
             else:
                 there = set(region)
-                if sum(w in there for w in p) < PARTLY * len(p):
+                if sum(map(there.__contains__, p)) < PARTLY * len(p):
                     continue  # no common subsequence is longer
-                share = common(p, region) / len(p)
+                share = in_order(self.places[k], len(p), region) / len(p)
                 answer = self.answers[k]
                 good = share >= IN_ORDER or share >= PARTLY and len(answer.intersection(region)) >= ANSWER * len(answer)
             if good and share > best.get(item, (0.0, 0))[0]:
@@ -214,15 +215,18 @@ class Index:
         out = np.zeros(len(w), np.int64)
         row = np.cumsum(np.append(0, w[1:] != w[:-1]))
         rows = w[np.append(True, w[1:] != w[:-1])]
-        around = np.arange(-half, scale + half)
-        some = max(1, CELLS // len(self.idf))
+        around, size = np.arange(-half, scale + half), len(self.idf)
+        codes = np.ascontiguousarray(self.codes[:, : int(self.lengths[k].max(initial=0))].T)
+        some = max(1, CELLS // size)
         for i in range(0, len(rows), some):
-            place = start[rows[i : i + some], None] + around
-            there = np.zeros((len(place), len(self.idf)), bool)
-            there[np.arange(len(place))[:, None], np.where((place >= 0) & (place < len(at)), at[np.clip(place, 0, len(at) - 1)], 0)] = True
-            there[:, 0] = False
+            begin = start[rows[i : i + some]]
+            # what is before the first word is taken as that, which is around then, and behind the last one is a zero
+            word = at.take(begin[:, None] + around, mode="clip") + np.arange(len(begin))[:, None] * size
+            there = np.zeros(len(begin) * size, np.uint8)
+            there[word] = 1
+            there[::size] = 0
             a, b = np.searchsorted(row, [i, i + some])
-            out[a:b] = there[row[a:b, None] - i, self.codes[k[a:b]]].sum(axis=1)
+            out[a:b] = there[codes[:, k[a:b]] + (row[a:b] - i) * size].sum(axis=0, dtype=np.uint8)  # passages are shorter than 256
         return out
 
     def summed(self, at: np.ndarray, step: int) -> np.ndarray:
@@ -289,19 +293,26 @@ def multiplied(x: np.ndarray, units: list[np.ndarray], far: np.ndarray) -> tuple
     return w[order], k[order], dot[order]
 
 
-def common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by a bit vector over a."""
+def places_of(a: list[str]) -> dict[str, int]:
+    """By word a bit for each place it has in a."""
     places: dict[str, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return places
+
+
+def in_order(places: dict[str, int], n: int, b: list[str]) -> int:
+    """Length of the longest common subsequence of n words and b, by a bit vector over the former."""
+    full = (1 << n) - 1
     v = full
-    for w in b:
-        m = places.get(w)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    for m in filter(None, map(places.get, b)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def common(a: list[str], b: list[str]) -> int:
+    return in_order(places_of(a), len(a), b)
 
 
 def document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -310,11 +321,11 @@ def document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df, n = shared.value, Counter(), 0
-        every = known.keys()
+        every = frozenset(known)
         for b in batches:
             for text in b.column(0).to_pylist():
                 n += 1
-                df.update(every & set(tokens(text)))
+                df.update(every.intersection(tokens(text)))
         rows = [(known[w], c) for w, c in df.items()] + [(0, n)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["word", "df"])
 
@@ -403,7 +414,7 @@ def build(docs: DataFrame, benchmark: DataFrame) -> Index:
         row[: len(a)] = a
     rarest = [set(sorted(set(p), key=lambda w: (-idf[words[w]], w))[: max(3, len(p) // 5)]) for _, p in cut]
     return Index(
-        words, idf, latent, [item for item, _ in cut], [p for _, p in cut], rarest, projected / (np.linalg.norm(projected, axis=1)[:, None] + np.float32(1e-12)),
+        words, idf, latent, [item for item, _ in cut], [p for _, p in cut], [places_of(p) for _, p in cut], rarest, projected / (np.linalg.norm(projected, axis=1)[:, None] + np.float32(1e-12)),
         np.array([scale_of(len(p)) for _, p in cut], np.int64), lengths, codes, runs_of(at),
     )
 
