@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Paths of what is settled, of each scratch() that is open.
+SCRATCH: list[list[str]] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,10 +30,24 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    if SCRATCH:
+        SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is settled within it is deleted at its end, but for what has been taken from the list of paths that it gives."""
+    SCRATCH.append([])
+    try:
+        yield SCRATCH[-1]
+    finally:
+        for path in SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for what is written between steps, spark.checkpoint.dir. Where none is set, one of this machine's own if
     all of Spark runs in this process, as in tests, and else an error: what one executor writes to its own disk no other sees.

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WordHashes, compact, mixed, settle, small_batches, table
+from quillgraph.llm.common import WordHashes, compact, mixed, scratch, settle, small_batches, table
 from quillgraph.llm.components import components
 
 K = 64
@@ -41,6 +41,8 @@ PARTS = 1024
 ROUNDS = 4
 #: And with how many of those left it is compared first then; four times as many each time after.
 PICKS = 4
+#: Values asked of approx_top_k and tracked by it: those of more than one in PARTS of all are among them.
+ASKED, TRACKED = 2 * PARTS, 20 * PARTS
 TIMES = np.uint64(0xC2B2AE3D27D4EB4F)
 TOP = np.uint64(1 << 63)
 #: Bits of the filter that picks the documents whose sets are needed: 2 MB, or up to 8 MB for more; what would fill
@@ -64,20 +66,24 @@ def bounds(least: int) -> Bounds:
     return Bounds(least, K, K)
 
 
-def dealt(left: DataFrame, right: DataFrame, key: str, often: DataFrame, by: Column) -> DataFrame:
+def dealt(left: DataFrame, right: DataFrame, key: str, often: DataFrame | None, by: Column) -> DataFrame:
     """left joined with right on key. often (key, m) has the keys of more than one in PARTS of left's rows, so no more
     than PARTS of them: their rows of left are dealt out by a hash of by, and their rows of right copied to each part.
     """
+    if often is None:
+        return left.join(right, key)
     often = F.broadcast(often.select(key, F.col("m").alias("_m")))
     x = left.join(often, key, "left").withColumn("_part", F.when(F.col("_m").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_m"))).cast("int")).drop("_m")
     y = right.join(often, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_m", F.lit(1)).cast("int") - 1))).drop("_m")
     return x.join(y, [key, "_part"]).drop("_part")
 
 
-def frequent(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """often of dealt(): keys with more than one in PARTS of total rows, and the number of parts that they take."""
+def frequent(counts: DataFrame, key: str, n: str, total: int) -> DataFrame | None:
+    """often of dealt(): keys with more than one in PARTS of total rows, and the number of parts that they take; None if
+    there are none. They are no more than PARTS, and so come to the driver."""
     share = max(SHORT, total // PARTS)
-    return settle(counts.where(F.col(n) > share).select(key, F.ceil(F.col(n) / share).alias("m")))
+    found = counts.where(F.col(n) > share).select(key, F.ceil(F.col(n) / share).alias("m")).toArrow()
+    return counts.sparkSession.createDataFrame(found) if found.num_rows else None
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
@@ -307,13 +313,28 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
 
 
+def spread(posts: DataFrame) -> DataFrame:
+    """posts (value, ...) with df, how many have the value, without values of one alone.
+
+    Values meet once, where they are counted; those that very many have are counted before and stay where they are. A
+    value too few or too many among these changes the work and not the result.
+    """
+    top = posts.agg(F.expr(f"approx_top_k(value, {ASKED}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    share = max(SHORT, top["n"] // PARTS)
+    hot = [(x["item"],) for x in top["top"] or [] if x["count"] > share]
+    counted = lambda rows: rows.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("value"))).where(F.col("df") >= 2)
+    if not hot:
+        return counted(posts)
+    values = F.broadcast(posts.sparkSession.createDataFrame(pa.table({"value": pa.array([x for (x,) in hot], pa.int64())})))
+    counts = posts.join(values, "value").groupBy("value").agg(F.count(F.lit(1)).alias("df"))
+    counts = F.broadcast(posts.sparkSession.createDataFrame(counts.toArrow()))
+    return counted(posts.join(values, "value", "left_anti")).unionByName(posts.join(counts, "value").where(F.col("df") >= 2))
+
+
 def listed(classes: DataFrame, b: Bounds) -> DataFrame:
     """(vid, n, reach, c, value, m): the postings of rare values, settled, with the length of their list. c is how many
     values a linked pair has in common among these."""
-    posts = classes.select("vid", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
-    total = classes.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
-    spread = compact(posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 2), 200_000)
-    per = dealt(posts, spread, "value", frequent(spread, "value", "df", total), F.col("vid"))
+    per = spread(classes.select("vid", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value")))
     per = per.groupBy("vid", "n", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"), F.count(F.lit(1)).alias("found"), F.sum(F.log2("df")).alias("reach"))
     o = F.when(F.col("n") <= b.exact, F.ceil(F.col("n") * b.least / 100)).otherwise(F.lit(b.shared)).cast("int")
     c = F.when(o >= 12, 3).otherwise(1)
@@ -403,8 +424,10 @@ def rooted(pairs: DataFrame, roots: DataFrame, side: str) -> DataFrame:
 def grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     """doc_id, print (a hash of the text), n, root, top: a row for each row of docs. root is the same for all rows of a
     component, null for rows without shingles; top is the component's least doc_id."""
-    with small_batches(docs.sparkSession):  # all that runs Python is written in here
-        return _grouped(docs, size, least)
+    with small_batches(docs.sparkSession), scratch(docs.sparkSession) as written:  # all that runs Python is written in here
+        found = settle(_grouped(docs, size, least))
+        written.pop()  # which alone stays
+        return found
 
 
 def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
