@@ -13,6 +13,11 @@ the one hub that most of its long lists have. What then has not come into the co
 looked for by full sets: shingles in the order of how many classes of long lists have them, the first one that two sets
 share leaves them no more in common than what follows it in either, so it has to be early in both.
 
+Each class also has its parity bits: the bits of a vector, each flipped by every shingle that hashes to it. Shingles that
+only one of two sets has are all that makes their vectors differ, each in one bit at most, so sets whose vectors differ in
+more bits than linked sets may differ in shingles are not linked. That is exact, and holds for folded vectors as well:
+all candidates are looked at by it, those of the full sets within the join that makes them.
+
 Where many rows have one key, a value or a hub, dealt() copies what they are joined with, so that no task gets them all.
 """
 
@@ -41,6 +46,12 @@ PARTS = 1024
 ROUNDS = 4
 #: And with how many of those left it is compared first then; four times as many each time after.
 PICKS = 4
+#: So many pairs or fewer are compared at once.
+FEW_PAIRS = 20_000
+#: Rounds end once fewer than one in so many of the compared are linked: pairs chosen by full sets then do better.
+WORTH = 4
+#: Parity vectors have one to two bits a shingle, within these; FOLD bits of all are kept beside.
+FOLD, MOST_PARITY = 512, 1 << 16
 #: Values asked of approx_top_k and tracked by it: those of more than one in PARTS of all are among them.
 ASKED, TRACKED = 2 * PARTS, 20 * PARTS
 TIMES = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -111,27 +122,51 @@ def signature(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of hashes: whether an odd number of them has it. As 64-bit words."""
+    bits = min(MOST_PARITY, max(FOLD, 1 << (max(1, len(s)) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """The parity of the same hashes in fewer words."""
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
+
+
+def apart_by_parity(x: np.ndarray, y: np.ndarray) -> int:
+    """No more than the number of shingles that one of two sets has and the other has not."""
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+
+
 def sketching(size: int):
-    """mapInArrow over (doc_id, text, print): doc_id, print, n, sig, sketch (in unsigned order, as signed numbers of that order)."""
+    """mapInArrow over (doc_id, text, print): doc_id, print, n, sig, sketch (in unsigned order, as signed numbers of that order),
+    odd (parity), fold (its FOLD bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            n, sig, sketch = [], [], []
+            n, sig, sketch, odd, fold = [], [], [], [], []
             for text in b.column(1):
                 s = shingle_set(lower_words(text.as_py()), hashes, size)
                 n.append(len(s))
                 sig.append(signature(s))
                 sketch.append((s[:K] ^ TOP).view(np.int64))
+                bits = parity(s)
+                odd.append(bits.tobytes())
+                fold.append(folded(bits, FOLD // 64).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sketch])])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sketch])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists], ["doc_id", "print", "n", "sig", "sketch"])
+            folds = pa.ListArray.from_arrays(pa.array(np.arange(len(fold) + 1) * (FOLD // 64), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *fold])))
+            columns = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(odd, pa.binary()), folds]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n", "sig", "sketch", "odd", "fold"])
 
     return run
 
 
-def estimating(maybe: float):
-    """(a, b, sketch of a, sketch of b) -> a, b of those whose union's sketch says that they may be linked.
+def estimating(maybe: float, least: int):
+    """(a, b, look of a, look of b) -> a, b of those whose union's sketch and parity say that they may be linked.
 
     A whole set may be its sketch: then the union's sketch ends where the shorter-sighted of the two ends.
     """
@@ -139,12 +174,15 @@ def estimating(maybe: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            sides = [[c.field(k) for k in ("sketch", "odd", "n")] for c in (batch.column(2), batch.column(3))]
+            sizes = sides[0][2].to_numpy() + sides[1][2].to_numpy()
+            for x, y, p, q, n in zip(sides[0][0], sides[1][0], sides[0][1], sides[1][1], sizes, strict=True):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 union = np.union1d(x, y)[:K]
                 both = np.intersect1d(x, y, assume_unique=True)
                 shared = int(np.searchsorted(both, union[-1], side="right"))
-                keep.append(shared >= maybe * len(union))
+                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                keep.append(shared >= maybe * len(union) and apart_by_parity(p, q) * (100 + least) <= n * (100 - least))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -225,6 +263,11 @@ class Linker:
         """Whether set sizes allow the link."""
         return F.least(x, y) * 100 >= F.greatest(x, y) * self.bounds.least
 
+    def parity_near(self, x: Column, y: Column, n: Column, m: Column) -> Column:
+        """Whether folds of sets of these sizes allow the link."""
+        bits = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(FOLD // 64)), F.lit(0))
+        return bits * (100 + self.bounds.least) <= (n + m) * (100 - self.bounds.least)
+
     def of(self, some: DataFrame) -> DataFrame:
         return compact(self.classes.join(some, "vid").select("vid", "id", "sig"))
 
@@ -238,8 +281,8 @@ class Linker:
 
     def may_link(self, pairs: DataFrame) -> DataFrame:
         """Of settled pairs (a, b)."""
-        s = compact(self.classes.select("vid", "sketch").join(ends_of(pairs), "vid", "left_semi"), 20_000)
-        return compact(self.with_both(pairs, s, "sketch").mapInArrow(estimating(self.bounds.shared / K - 0.005), "a long, b long"))
+        s = compact(self.classes.select("vid", F.struct("sketch", "odd", "n").alias("look")).join(ends_of(pairs), "vid", "left_semi"), 20_000)
+        return compact(self.with_both(pairs, s, "look").mapInArrow(estimating(self.bounds.shared / K - 0.005, self.bounds.least), "a long, b long"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of settled pairs (a, b)."""
@@ -271,8 +314,9 @@ class Linker:
         a class that links with a large component tries a few of its classes, and one that does not tries all there are.
         """
         place = F.row_number().over(W.partitionBy("x").orderBy(F.xxhash64("a", "b"), "a", "b"))
-        while not left.isEmpty():
-            ranked = left.withColumn("place", place)
+        while n := left.count():
+            width = max(width, n) if n <= FEW_PAIRS else width
+            ranked = left.withColumn("place", F.lit(1) if width >= n else place)
             links = self.confirmed(self.may_link(compact(ranked.where(F.col("place") <= width).select("a", "b"))))
             rest = ranked.where(F.col("place") > width).select("a", "b", "x")
             if not links.isEmpty():
@@ -380,7 +424,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, least: int) -> DataFra
         return found
     at, main = apart(long.withColumn("rank", F.lit(0)), roots)
     some = dealt(at, main.select("value"), "value", frequent(main, "value", "m", long.count()), F.col("vid")).select("vid").distinct()
-    first = compact(linker.early(compact(some)).join(reach.withColumnRenamed("y", "vid"), "vid"), 200_000)
+    first = linker.early(compact(some)).join(reach.withColumnRenamed("y", "vid"), "vid")
+    first = compact(first.join(classes.select("vid", "fold"), "vid"), 200_000)
     total = first.count()
     for k in range(ROUNDS):
         at, main = apart(first.withColumn("rank", F.col("reach") if k == 0 else F.xxhash64("vid", F.lit(k))), roots)
@@ -395,11 +440,14 @@ def links(docs: DataFrame, classes: DataFrame, size: int, least: int) -> DataFra
             break
         found = compact(found.unionByName(more))
         roots = settle(components(found))
+        if more.count() * WORTH < tried.count():
+            break
     at, main = apart(first.withColumn("rank", F.lit(0)), roots)
     often = frequent(main, "value", "m", total)
     first = compact(dealt(at, main.select("value", "main"), "value", often, F.col("vid")), 200_000)
-    other = first.select("value", F.col("vid").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("y_root"))
+    other = first.select("value", F.col("vid").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("y_root"), F.col("fold").alias("y_fold"))
     can = near(F.col("n"), F.col("m")) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (100 + least) >= (F.col("n") + F.col("m")) * least)
+    can = can & linker.parity_near(F.col("fold"), F.col("y_fold"), F.col("n"), F.col("m"))
     more = dealt(other, first.where(F.col("root") != F.col("main")), "value", often, F.col("y")).where((F.col("root") != F.col("y_root")) & can)
     # of two that are both apart from the list's main component, one way is enough
     more = more.where((F.col("y_root") == F.col("main")) | (F.col("vid") < F.col("y")))
@@ -432,9 +480,9 @@ def grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
-    schema = "doc_id long, print long, n long, sig binary, sketch array<bigint>"
+    schema = "doc_id long, print long, n long, sig binary, sketch array<bigint>, odd binary, fold array<bigint>"
     rows = settle(read.select("doc_id", "text", "print").mapInArrow(sketching(size), schema))
-    classes = rows.where(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = rows.where(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sketch", "odd", "fold")])
     # rows without a doc_id are looked up as 0
     classes = settle(classes.withColumns({"vid": F.monotonically_increasing_id(), "id": F.coalesce("least", F.lit(0))}))
     found = links(read, classes, size, least)

@@ -210,6 +210,31 @@ def test_pairs_of_a_group_grow_with_its_size_alone(spark, monkeypatch):
                 assert sample[i] == sample[j]
 
 
+def test_few_pairs_of_unlike_sets_that_share_frequent_shingles(spark, monkeypatch):
+    """200 texts of 12 words, no two of them alike, and five near copies of each of two: 22,000 pairs, of which few are looked at."""
+    r = random.Random(12)
+    rows = [[f"w{r.randrange(12)}" for _ in range(60)] for _ in range(200)]
+    rows += [[*rows[k][:i], "other", *rows[k][i + 1 :]] for k in (0, 1) for i in range(7, 57, 10)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    left = []
+    plain = neardup.Linker.few_by_few
+    monkeypatch.setattr(neardup.Linker, "few_by_few", lambda self, pairs, *rest: left.append(pairs.count()) or plain(self, pairs, *rest))
+    assert sorted(map(tuple, neardup.groups(spark.createDataFrame(rows, DOC)).collect())) == near_groups(rows)
+    assert len(left) == 1 and left[0] < 100
+
+
+def test_parity_vectors_differ_in_no_more_bits_than_sets_in_elements():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 60, 700, 30_000):
+        s = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        for gone in (0, 1, n // 9, n // 2):
+            t = np.unique(np.concatenate([s[gone:], r.integers(0, 1 << 64, gone, np.uint64)]))
+            x, y = neardup.parity(s), neardup.parity(t)
+            found, words = neardup.apart_by_parity(x, y), neardup.FOLD // 64
+            assert len(np.setxor1d(s, t)) >= found >= np.bitwise_count(neardup.folded(x, words) ^ neardup.folded(y, words)).sum()
+            assert (gone == 0) == (found == 0)
+
+
 def test_values_are_counted_where_they_meet_and_frequent_ones_before(spark):
     posts = spark.range(40_000).select("id", F.expr("if(id % 3 = 0, 7, if(id % 3 = 1, id div 30, -id))").alias("value"))
     want = posts.join(posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "value")
